@@ -58,27 +58,47 @@ UY_DEFAULT_DEPARTMENT = "S"
 CL_MOTO = "^[A-Z]{4}[0-9]{2}$"
 # End of fixed values.
 
-_FIELDS = ("country", "adm_division", "vehicle_type", "category", "mercosur_format")
-
-
-def _info(country: Column, division: Column, kind: Column, category: Column, mercosur: Column) -> Column:
-    values = (country, division, kind, category, mercosur)
-    return F.struct(*[v.alias(n) for n, v in zip(_FIELDS, values)])
-
-
-def _rule_info(plate: Column, rule: PlateRule) -> Column:
-    none = F.lit("")
-    division, kind, category = none, F.lit(rule.vehicle_type), none
-    if rule.country == "UY":
-        division = F.when(plate.rlike(UY_DEPARTMENTS), F.substring(plate, 1, 1)).otherwise(UY_DEFAULT_DEPARTMENT)
-        if rule.mercosur:
-            moto = F.substring(plate, 1, 2).isin(*UY_MOTO_PREFIXES) | F.substring(plate, 1, 3).isin(*UY_MOTO_PREFIXES)
-            kind = F.when(moto, F.lit("Moto")).otherwise(kind)
-            category = F.coalesce(literal_lookup(F.substring(plate, 2, 2), UY_CATEGORIES), none)
-    elif rule.country == "CL":
-        category = F.coalesce(literal_lookup(F.substring(plate, 1, 2), CL_CATEGORIES), none)
-        kind = F.when((category == "") & plate.rlike(CL_MOTO), F.lit("Moto")).otherwise(kind)
-    return _info(F.lit(rule.country), division, kind, category, F.lit(rule.mercosur))
+def _rule_number(text: Column, hint: Column | None) -> Column:
+    """1-based number of the first rule that fits; 0 when none does."""
+    chain = None
+    for number, rule in enumerate(PLATE_RULES, 1):
+        fits = text.rlike(rule.pattern)
+        if hint is not None:
+            fits = fits & ((hint == "") | (hint == rule.country))
+        chain = F.when(fits, number) if chain is None else chain.when(fits, number)
+    return chain.otherwise(0)
+
+
+def _by_rule(rule: Column, values: list) -> Column:
+    """Value of a rule's entry in ``values``; the first entry is for "no rule"."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), rule + 1)
+
+
+def _fields(text: Column, rule: Column, hint: Column | None) -> dict[str, Column]:
+    """Fields of the facts a plate gives, from its text and the rule it fits."""
+    country = _by_rule(rule, ["", *[r.country for r in PLATE_RULES]])
+    if hint is not None:
+        known = sorted({r.country for r in PLATE_RULES})
+        country = F.when((rule == 0) & hint.isin(*known), hint).otherwise(country)
+    numbers = {c: [n for n, r in enumerate(PLATE_RULES, 1) if r.country == c] for c in ("UY", "CL")}
+    is_uy, is_cl = rule.isin(*numbers["UY"]), rule.isin(*numbers["CL"])
+    uy_mercosur = rule.isin(*[n for n in numbers["UY"] if PLATE_RULES[n - 1].mercosur])
+    uy_moto = uy_mercosur & text.rlike("^(" + "|".join(UY_MOTO_PREFIXES) + ")")
+    cl_special = text.rlike("^(" + "|".join(CL_CATEGORIES) + ")")
+    cl_moto = is_cl & ~cl_special & text.rlike(CL_MOTO)
+    return {
+        "country": country,
+        "adm_division": F.when(is_uy & text.rlike(UY_DEPARTMENTS), F.substring(text, 1, 1))
+        .when(is_uy, UY_DEFAULT_DEPARTMENT)
+        .otherwise(""),
+        "vehicle_type": F.when(uy_moto | cl_moto, "Moto").otherwise(
+            _by_rule(rule, ["", *[r.vehicle_type for r in PLATE_RULES]])
+        ),
+        "category": F.when(uy_mercosur, F.coalesce(literal_lookup(F.substring(text, 2, 2), UY_CATEGORIES), F.lit("")))
+        .when(is_cl, F.coalesce(literal_lookup(F.substring(text, 1, 2), CL_CATEGORIES), F.lit("")))
+        .otherwise(""),
+        "mercosur_format": _by_rule(rule, [False, *[r.mercosur for r in PLATE_RULES]]),
+    }
 
 
 def infer_plate(plate: Column | str, hint: Column | str | None = None, reference_compat: bool = False) -> Column:
@@ -87,40 +107,37 @@ def infer_plate(plate: Column | str, hint: Column | str | None = None, reference
     With a non-empty ``hint`` column only that country's patterns are tried; a miss keeps the hint country with
     empty fields. Without a match all fields are empty.
     """
-    text = normalize_plate(plate, reference_compat)
-    hint_col = F.lit("") if hint is None else F.coalesce(_col(hint), F.lit(""))
-    chain = None
-    for rule in PLATE_RULES:
-        fits = text.rlike(rule.pattern)
-        if hint is not None:
-            fits = fits & ((hint_col == "") | (hint_col == rule.country))
-        info = _rule_info(text, rule)
-        chain = F.when(fits, info) if chain is None else chain.when(fits, info)
-    known = sorted({r.country for r in PLATE_RULES})
-    none = F.lit("")
-    miss = _info(
-        F.when(hint_col.isin(*known), hint_col).otherwise(none), none, none, none, F.lit(False)
-    )
-    return chain.otherwise(miss)
+    text = F.coalesce(normalize_plate(plate, reference_compat), F.lit(""))
+    hint = None if hint is None else F.coalesce(_col(hint), F.lit(""))
+    fields = _fields(text, _rule_number(text, hint), hint)
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def _with_plate_fields(df: DataFrame, plate: str, hint: str | None) -> tuple[DataFrame, dict[str, Column]]:
+    """Plate text and rule as columns, so that every field reads them instead of computing them again."""
+    hint_col = None if hint is None else F.coalesce(F.col(hint), F.lit(""))
+    staged = df.withColumn("_text", F.coalesce(normalize_plate(plate), F.lit("")))
+    staged = staged.withColumn("_rule", _rule_number(F.col("_text"), hint_col))
+    return staged, _fields(F.col("_text"), F.col("_rule"), hint_col)
 
 
-def with_vehicle(df: DataFrame, hint: str | None = None) -> DataFrame:
-    """Set ``vehicle_country`` and ``vehicle_type`` from ``vehicle``; empty becomes NULL."""
-    info = infer_plate("vehicle", hint)
-    return df.withColumn("_plate", info).withColumns(
+def with_vehicle(df: DataFrame, plate: str = "vehicle", hint: str | None = None) -> DataFrame:
+    """Set ``vehicle_country`` and ``vehicle_type`` from the plate; empty becomes NULL."""
+    staged, fields = _with_plate_fields(df, plate, hint)
+    return staged.withColumns(
         {
-            "vehicle_country": null_if_empty("_plate.country"),
-            "vehicle_type": null_if_empty("_plate.vehicle_type"),
+            "vehicle_country": null_if_empty(fields["country"]),
+            "vehicle_type": null_if_empty(fields["vehicle_type"]),
         }
-    ).drop("_plate")
+    ).drop("_text", "_rule")
 
 
 def plate_report(df: DataFrame, column: str = "vehicle") -> DataFrame:
     """One row per distinct plate with the inferred fields, or an error when nothing is known."""
     plates = df.select(F.col(column).alias("plate")).where(F.col("plate").isNotNull()).distinct()
-    report = plates.withColumn("_p", infer_plate("plate"))
-    return report.select(
+    staged, fields = _with_plate_fields(plates, "plate", None)
+    return staged.select(
         "plate",
-        *[F.col(f"_p.{f}").alias(f) for f in _FIELDS],
-        F.when(F.col("_p.country") == "", F.lit("no info available")).alias("error"),
+        *[c.alias(n) for n, c in fields.items()],
+        F.when(F.col("_rule") == 0, "no info available").alias("error"),
     )
