@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticelake.functions import geo, plates
 from noticelake.functions.cells import BASE_COLUMNS, GRID_MODE, _grid_size, _splits, with_cells
-from noticelake.schema import CELL_COLUMNS
+from noticelake.schema import CELL_COLUMNS, OFFENSES
+from noticelake.sources.offenses import read_offenses, write_offenses
+from noticelake.storage import shared_dir
+
+# The derived record ids exceed 32 bits, and the given times carry no zone.
+STORED_SCHEMA = T.StructType(
+    [
+        T.StructField(f.name, {"record_id": T.LongType(), "time": T.TimestampNTZType()}.get(f.name, f.dataType))
+        for f in OFFENSES.fields
+    ]
+)
 
 EPOCH = 1704067200  # 2024-01-01T00:00:00Z
 
@@ -75,7 +88,7 @@ def raw_offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("time_year", F.year("time"))
 
 
-def offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offense table: vehicle facts, cells and articles filled."""
     brand = F.expr("cast(substring(p_brand, 7) as int)")
     ids = F.expr(
@@ -94,10 +107,24 @@ def offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"article_ids": ids, "article_codes": codes}).drop("p_brand", "p_type", "p_size")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored offense table, derived from the given tables once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        name = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+        path = f"{shared_dir(spark)}/{key[0]}/offenses-{name}"
+        write_offenses(build_offenses(spark, sf_dir), path, partitions=(), sort=("db_id", "time"))
+        _STORED[key] = path
+    path = _STORED[key]
+    return read_offenses(spark, path, STORED_SCHEMA)
+
+
 def bare_offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offenses before curation: no point, cells, article ids or codes."""
-    rows = plates.with_vehicle(raw_offenses(spark, sf_dir)).drop("p_brand", "p_type", "p_size", "point")
-    return rows.withColumns(
+    return offenses(spark, sf_dir).withColumns(
         {
             "point": F.lit(None).cast("struct<lng:double,lat:double>"),
             **{c: F.lit(None).cast("long") for c in CELL_COLUMNS},
