@@ -17,15 +17,17 @@ def _vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """(key, runs array<struct(token, count)>, norm2, heads) per text that has words.
 
     All inside the row, without a shuffle: sort the words, measure the runs of equal ones. The first ``heads`` runs are the
-    words needed to find every pair that reaches the threshold.
+    words needed to find every pair that reaches the threshold. Runs are always unnested by an outer explode: a plain one
+    makes the optimizer add a size filter, which it would push down and compute inside every lambda. For the same reason
+    ``norm2`` is never NULL.
     """
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(tokens(text), lambda w: F.struct((-F.length(w)).alias("order"), w.alias("token")))
     )
-    words = df.select(key, ordered.alias("_words")).where(F.size("_words") > 0)
+    words = df.select(key, ordered.alias("_words"))
     starts = F.filter(
-        F.sequence(F.lit(1), F.size("_words")),
-        lambda i: (i == 1) | (F.get("_words", i - 1) != F.get("_words", i - 2)),
+        F.sequence(F.lit(0), F.size("_words")),
+        lambda i: (i == 1) | ((i > 1) & (F.get("_words", i - 1) != F.get("_words", i - 2))),
     )
     started = words.withColumn("_starts", starts)
     runs = F.transform(
@@ -37,7 +39,7 @@ def _vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     )
     zero = F.lit(0).cast("long")
     measured = started.select(key, runs.alias("runs")).withColumn(
-        "norm2", F.aggregate("runs", zero, lambda acc, r: acc + r["count"] * r["count"])
+        "norm2", F.coalesce(F.aggregate("runs", zero, lambda acc, r: acc + r["count"] * r["count"]), zero)
     )
     # A word is a head while it and the words after it could still reach the threshold (slack for rounding).
     enough = F.col("norm2") * F.lit(threshold * threshold * (1 - 1e-9))
@@ -53,7 +55,7 @@ def _vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
 
 
 def _head_words(vectors: DataFrame, key: str) -> DataFrame:
-    return vectors.select(key, F.explode(F.slice("runs", F.lit(1), F.col("heads"))["token"]).alias("token"))
+    return vectors.select(key, F.explode_outer(F.slice("runs", F.lit(1), F.col("heads"))["token"]).alias("token"))
 
 
 def cosine_matches(
@@ -81,10 +83,10 @@ def cosine_matches(
     # Score candidates over all their shared words; the long texts travel once, as arrays.
     words = (
         candidates.join(left.select("_l", "runs", F.col("norm2").alias("_ln")), "_l")
-        .select("_l", "_r", "_ln", F.explode("runs").alias("_w"))
+        .select("_l", "_r", "_ln", F.explode_outer("runs").alias("_w"))
         .select("_l", "_r", "_ln", "_w.token", F.col("_w.count").alias("_lc"))
     )
-    entries = right.select("_r", F.col("norm2").alias("_rn"), F.explode("runs").alias("_w")).select(
+    entries = right.select("_r", F.col("norm2").alias("_rn"), F.explode_outer("runs").alias("_w")).select(
         "_r", "_rn", "_w.token", F.col("_w.count").alias("_rc")
     )
     scored = (

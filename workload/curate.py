@@ -139,7 +139,7 @@ def classify_exact(spark, sf) -> DataFrame:
 
 _PARTS = f"""texts AS (SELECT DISTINCT description FROM offenses),
 parts AS (SELECT description, generate_subscripts(p, 1) AS pos, trim(unnest(p)) AS part
-  FROM (SELECT description, list_filter(string_split(description, ','), x -> trim(x) <> '') AS p FROM texts)),
+  FROM (SELECT description, list_filter(string_split(description, ','), lambda x: trim(x) <> '') AS p FROM texts)),
 looked AS (SELECT description, pos, part, k.ids, k.codes, k.key IS NOT NULL AS found
   FROM parts LEFT JOIN known k ON k.key = {FOLD.format('part')}),
 resolved AS (SELECT description, count(*) AS parts, bool_and(found) AS all_found,
@@ -303,7 +303,7 @@ _SUGGEST = (
 )
 _TEXTS = W(t.OFFENSES_SQL, t.ARTICLES_SQL, t.DESCRIPTIONS_SQL) + ", texts AS (SELECT DISTINCT description FROM offenses)"
 _SPLIT = """, pieces AS (SELECT description, generate_subscripts(p, 1) AS pos, trim(unnest(p)) AS part
-  FROM (SELECT description, list_filter(string_split(description, ','), x -> trim(x) <> '') AS p FROM texts))"""
+  FROM (SELECT description, list_filter(string_split(description, ','), lambda x: trim(x) <> '') AS p FROM texts))"""
 
 
 @query(
