@@ -70,6 +70,12 @@ def validate_coordinates(lat: Column | str, lng: Column | str) -> Column:
     )
 
 
+def is_route_location(c: Column | str) -> Column:
+    """Whether a text names a route and a kilometre."""
+    text = trim_space(c)
+    return text.rlike(ROUTE_KM_M) | text.rlike(ROUTE_KM) | text.rlike(BARE_KM_M)
+
+
 def parse_route_location(c: Column | str) -> Column:
     """struct(route int, marker, direction) of a route-kilometre text; NULL when no pattern fits."""
     text = trim_space(c)

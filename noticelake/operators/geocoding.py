@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticelake.functions.cells import with_cells
 from noticelake.functions.geo import (
     geocode_query,
+    is_route_location,
     marker_km,
     marker_metres,
     parse_route_location,
@@ -54,11 +55,12 @@ def match_radars(locations: DataFrame, radars: DataFrame, column: str = "locatio
     that keeps the best radar map-side, so a busy kilometre is not gathered anywhere.
     """
     texts = locations.select(F.col(column).alias("location")).where(F.col("location").isNotNull()).distinct()
-    parsed = texts.withColumn("_r", parse_route_location("location")).where(F.col("_r").isNotNull())
+    # Join keys are never NULL, or the optimizer would parse every text once more to drop those that are.
+    parsed = texts.where(is_route_location("location")).withColumn("_r", parse_route_location("location"))
     wanted = parsed.select(
         "location",
-        F.col("_r.route").alias("route"),
-        F.col("_r.marker").alias("wanted"),
+        F.coalesce("_r.route", F.lit(-1)).alias("route"),
+        F.coalesce("_r.marker", F.lit("")).alias("wanted"),
         F.col("_r.direction").alias("direction"),
         marker_km(F.col("_r.marker")).alias("km"),
         marker_metres(F.col("_r.marker")).alias("_m"),

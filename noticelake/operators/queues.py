@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticelake.operators.enrich import resolve_parts
 from noticelake.operators.similarity import _is_multi, suggest_all, suggest_breakdown
+from noticelake.storage import checkpoint
 
 # Rows a queue shows (fixed value).
 QUEUE_LIMIT = 1000
@@ -222,14 +223,15 @@ def suggestion_report(
     With ``multi_article`` only texts whose parts point to different articles, part by part, unless all parts are already
     classified; otherwise only the other texts, taken as a whole (``pos`` NULL) and with at least one suggestion.
     """
-    queue = unclassified_descriptions(df, descriptions, limit).select("description")
-    breakdown = suggest_breakdown(queue, articles, descriptions, threshold)
-    multi = _is_multi(breakdown).where("is_multi").select("description")
+    # The queue and the verdicts feed several branches: store them once instead of deriving them in each.
+    queue = checkpoint(unclassified_descriptions(df, descriptions, limit).select("description"))
+    breakdown = checkpoint(suggest_breakdown(queue, articles, descriptions, threshold))
+    multi = checkpoint(_is_multi(breakdown).where("is_multi").select("description"))
     if multi_article:
         done = parts_classified(queue, descriptions).where("all_classified").select("description")
         open_texts = multi.join(done, "description", "left_anti")
         return breakdown.join(open_texts, "description", "left_semi")
-    single = queue.join(multi, "description", "left_anti")
+    single = checkpoint(queue.join(multi, "description", "left_anti"))
     return suggest_all(single, articles, descriptions, threshold).select(
         "description",
         F.lit(None).cast("int").alias("pos"),
