@@ -215,7 +215,7 @@ def radars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.expr("cast(s_suppkey % 30 as int)").alias("ruta"),
         F.expr(
-            """concat(cast(s_suppkey % 40 as string), 'k', lpad(cast(cast(floor(s_acctbal) as bigint) % 1000 as string), 3, '0'),
+            """concat(cast(s_suppkey % 40 as string), 'k', lpad(cast(cast(floor(abs(s_acctbal)) as bigint) % 1000 as string), 3, '0'),
                  case when s_suppkey % 4 = 0
                    then concat('/', cast(s_suppkey % 40 as string), 'k', lpad(cast((s_suppkey * 37) % 1000 as string), 3, '0'))
                    else '' end)"""
@@ -389,7 +389,7 @@ descriptions AS (
 RADARS_SQL = f"""
 radars AS (
   SELECT (s_suppkey % 30)::INT AS ruta,
-    (s_suppkey % 40) || 'k' || lpad((floor(s_acctbal)::BIGINT % 1000)::VARCHAR, 3, '0')
+    (s_suppkey % 40) || 'k' || lpad((floor(abs(s_acctbal))::BIGINT % 1000)::VARCHAR, 3, '0')
       || CASE WHEN s_suppkey % 4 = 0
          THEN '/' || (s_suppkey % 40) || 'k' || lpad(((s_suppkey * 37) % 1000)::VARCHAR, 3, '0') ELSE '' END AS progresiva,
     s_name AS descrip, {_LNG_SQL} AS lng, {_LAT_SQL} AS lat, s_suppkey
