@@ -59,8 +59,9 @@ def difference(df, con, sql: str) -> str | None:
     ours, theirs = sorted(ours, key=repr), sorted(theirs, key=repr)
     if ours == theirs:
         return None
-    only_ours = [r for r in ours if r not in set(theirs)][:3]
-    only_theirs = [r for r in theirs if r not in set(ours)][:3]
+    in_ours, in_theirs = set(ours), set(theirs)
+    only_ours = [r for r in ours if r not in in_theirs][:3]
+    only_theirs = [r for r in theirs if r not in in_ours][:3]
     return f"{len(ours)} rows != {len(theirs)} rows\n  names {names}\n  spark only {only_ours}\n  sql only   {only_theirs}"
 
 
