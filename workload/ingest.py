@@ -9,6 +9,7 @@ from noticelake.functions import amounts, times
 from noticelake.operators import extract, html
 from noticelake.sources import documents as docs
 from noticelake.sources import offenses as src
+from noticelake.storage import spread
 from workload import tables as t
 from workload.registry import query
 
@@ -49,7 +50,7 @@ def notice_pages(spark, sf) -> DataFrame:
       '</title></head><body><h5>Fecha de Publicaci&oacute;n: ', {day}, '</h5><table class="tabla_en_texto"><tbody>{header}',
       {rows[0]}, case when o_orderkey % 3 > 0 then {rows[1]} else '' end, case when o_orderkey % 3 > 1 then {rows[2]} else '' end,
       '</tbody></table></body></html>')"""
-    return t.table(spark, sf, "orders").select(
+    return spread(t.table(spark, sf, "orders"), "o_orderkey").select(
         F.expr("cast(o_custkey % 25 as int)").alias("db_id"),
         F.concat(F.lit("notice/"), F.col("o_orderkey").cast("string")).alias("doc_source"),
         F.expr(body).alias("html"),

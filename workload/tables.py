@@ -12,7 +12,7 @@ from noticelake.functions import geo, plates
 from noticelake.functions.cells import BASE_COLUMNS, GRID_MODE, _grid_size, _splits, with_cells
 from noticelake.schema import CELL_COLUMNS, OFFENSES
 from noticelake.sources.offenses import read_offenses, write_offenses
-from noticelake.storage import shared_dir
+from noticelake.storage import shared_dir, spread
 
 # The derived record ids exceed 32 bits, and the given times carry no zone.
 STORED_SCHEMA = T.StructType(
@@ -51,7 +51,7 @@ end
 
 def raw_offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as they leave extraction: no country, no articles, no canonical locations."""
-    lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lineitem, orders = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"), table(spark, sf_dir, "orders")
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     rows = (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
