@@ -80,17 +80,17 @@ def cosine_matches(
     candidates = (
         _head_words(left, "_l").join(_head_words(right, "_r"), "token").select("_l", "_r").distinct()
     )
-    # Score candidates over all their shared words; the long texts travel once, as arrays.
-    words = (
-        candidates.join(left.select("_l", "runs", F.col("norm2").alias("_ln")), "_l")
-        .select("_l", "_r", "_ln", F.explode_outer("runs").alias("_w"))
-        .select("_l", "_r", "_ln", "_w.token", F.col("_w.count").alias("_lc"))
-    )
+    # Score candidates over all their shared words: each brings the words of its article, the shorter side, and looks
+    # their counts up in the text by (text, word), a key no text or word can make hot.
     entries = right.select("_r", F.col("norm2").alias("_rn"), F.explode_outer("runs").alias("_w")).select(
         "_r", "_rn", "_w.token", F.col("_w.count").alias("_rc")
     )
+    words = left.select("_l", F.col("norm2").alias("_ln"), F.explode_outer("runs").alias("_w")).select(
+        "_l", "_ln", "_w.token", F.col("_w.count").alias("_lc")
+    )
     scored = (
-        words.join(entries, ["_r", "token"])
+        candidates.join(entries, "_r")
+        .join(words, ["_l", "token"])
         .groupBy("_l", "_r", "_ln", "_rn")
         .agg(F.sum(F.col("_lc") * F.col("_rc")).alias("_dot"))
         .withColumn("score", F.col("_dot") / (F.sqrt("_ln") * F.sqrt("_rn")))
