@@ -70,7 +70,13 @@ def main(argv: list[str]) -> int:
     from workload import QUERIES, SQL
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = local_session()
+    if os.environ.get("PLAIN"):  # a session without any of the library's settings
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session()
     con = connect(sf_dir)
     bad = 0
     for name in argv or list(QUERIES):

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.functions import amounts, times
+from noticelake.functions.cells import cell_hex
 from noticelake.operators import extract, html
+from noticelake.operators.predicates import apply_predicates
+from noticelake.plans.ingest import ingest
+from noticelake.sources import curation
 from noticelake.sources import documents as docs
 from noticelake.sources import offenses as src
-from noticelake.storage import spread
+from noticelake.storage import shared_dir, spread
 from workload import tables as t
 from workload.registry import query
 
@@ -271,3 +277,106 @@ def civil_times(spark, sf) -> DataFrame:
     return t.table(spark, sf, "events").select(
         "event_id", F.unix_seconds(times.parse_offense_time(F.expr(layouts), "UTC")).alias("seconds")
     )
+
+
+@query(
+    "ingest_records",
+    "WITH "
+    + NOTICES_SQL
+    + _VERDICTS
+    + f""" SELECT doc_source, doc_id, record_id, vehicle, {t.PLATE_COUNTRY_SQL.format(v='vehicle')} AS vehicle_country,
+      {t.PLATE_TYPE_SQL.format(v='vehicle')} AS vehicle_type, year(time) AS time_year, ur, error IS NULL AS valid
+    FROM records WHERE doc_source NOT IN (SELECT doc_source FROM j WHERE rejected IS NOT NULL)""",
+)
+def ingest_records(spark, sf) -> DataFrame:
+    done = ingest(notice_pages(spark, sf), issuers(spark, sf), t.locations(spark, sf), t.descriptions(spark, sf))
+    return done.records.select(
+        "doc_source",
+        "doc_id",
+        "record_id",
+        "vehicle",
+        "vehicle_country",
+        "vehicle_type",
+        "time_year",
+        "ur",
+        F.col("error").isNull().alias("valid"),
+    )
+
+
+def _fresh(spark, name: str) -> str:
+    """A new folder in the shared storage."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "partitioned_scan",
+    t.with_tables(t.OFFENSES_SQL) + "SELECT doc_source, record_id, vehicle, ur FROM offenses WHERE db_id IN (3, 7) AND time_year IN (1996, 1997)",
+)
+def partitioned_scan(spark, sf) -> DataFrame:
+    path = _fresh(spark, "partitioned")
+    src.write_offenses(t.offenses(spark, sf), path)
+    table = src.read_offenses(spark, path, t.STORED_SCHEMA)
+    return apply_predicates(table, {"database": ["3", "7"], "year": ["1996", "1997"]}).select(
+        "doc_source", "record_id", "vehicle", "ur"
+    )
+
+
+@query(
+    "replace_in_partitions",
+    t.with_tables(t.OFFENSES_SQL)
+    + """SELECT db_id, time_year, doc_source, record_id, vehicle FROM offenses
+    WHERE doc_source NOT IN (SELECT 'order/' || o_orderkey FROM orders WHERE o_totalprice > 499000)
+    UNION ALL SELECT 3, 1996, 'order/' || o_orderkey, 1, 'NEW' FROM orders WHERE o_totalprice > 499000""",
+)
+def replace_in_partitions(spark, sf) -> DataFrame:
+    path = _fresh(spark, "replaced")
+    columns = ["db_id", "time_year", "doc_source", "record_id", "vehicle"]
+    src.write_offenses(t.offenses(spark, sf).select(*columns), path)
+    incoming = t.table(spark, sf, "orders").where("o_totalprice > 499000").select(
+        F.lit(3).alias("db_id"),
+        F.lit(1996).alias("time_year"),
+        F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("doc_source"),
+        F.lit(1).cast("long").alias("record_id"),
+        F.lit("NEW").alias("vehicle"),
+    )
+    src.replace_in_partitions(spark, path, incoming)
+    return spark.read.parquet(path).select(*columns)
+
+
+@query(
+    "curation_bundle",
+    t.with_tables(t.LOCATIONS_SQL, t.ARTICLES_SQL, t.DESCRIPTIONS_SQL)
+    + """SELECT 'article' AS kind, id AS key, text AS value FROM articles
+    UNION ALL SELECT 'description', description, array_to_string(article_ids, '|') FROM descriptions
+    UNION ALL SELECT 'location', db_id || ' ' || location, printf('%x', h3_res8) FROM locations""",
+)
+def curation_bundle(spark, sf) -> DataFrame:
+    path = _fresh(spark, "bundle")
+    curation.write_curation(t.articles(spark, sf), t.descriptions(spark, sf), t.locations(spark, sf), path)
+    articles, descriptions, locations = curation.read_curation_lines(spark, path)
+    return (
+        articles.select(F.lit("article").alias("kind"), F.col("id").alias("key"), F.col("text").alias("value"))
+        .unionByName(
+            descriptions.select(
+                F.lit("description").alias("kind"), F.col("description").alias("key"), F.array_join("article_ids", "|").alias("value")
+            )
+        )
+        .unionByName(
+            locations.select(
+                F.lit("location").alias("kind"),
+                F.concat_ws(" ", F.col("db_id").cast("string"), "location").alias("key"),
+                cell_hex("h3_res8").alias("value"),
+            )
+        )
+    )
+
+
+@query(
+    "sync_action",
+    t.with_tables(t.LOCATIONS_SQL)
+    + "SELECT CASE WHEN (SELECT count(*) FROM locations) < (SELECT count(*) FROM supplier) THEN 'load' ELSE 'keep' END AS action",
+)
+def sync_action(spark, sf) -> DataFrame:
+    stored = {"locations": t.locations(spark, sf), "articles": t.articles(spark, sf)}
+    offered = {"locations": t.table(spark, sf, "supplier"), "articles": t.articles(spark, sf)}
+    return curation.sync_dimension(stored, offered)
