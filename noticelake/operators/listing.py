@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticelake.operators.predicates import Predicates, apply_predicates
 
@@ -46,7 +47,12 @@ def _order(sort: str) -> list[tuple[str, bool]]:
     return keys if sort == "document" else [("time", False), *keys]
 
 
-def _after(keys: list[tuple[str, bool]], last: dict) -> Column:
+def _literal(value, kind: T.DataType) -> Column:
+    """A collected value as a literal of its column's type; wall times must not pass through a zone."""
+    return F.lit(str(value)).cast(kind) if isinstance(kind, T.TimestampNTZType) else F.lit(value)
+
+
+def _after(df: DataFrame, keys: list[tuple[str, bool]], last: dict) -> Column:
     """Rows that sort after ``last``, NULLs sorting last."""
     later, equal = F.lit(False), F.lit(True)
     for name, ascending in keys:
@@ -54,8 +60,9 @@ def _after(keys: list[tuple[str, bool]], last: dict) -> Column:
         if value is None:
             beyond, same = F.lit(False), column.isNull()
         else:
-            beyond = column.isNull() | (column > F.lit(value) if ascending else column < F.lit(value))
-            same = F.coalesce(column == F.lit(value), F.lit(False))
+            value = _literal(value, df.schema[name].dataType)
+            beyond = column.isNull() | (column > value if ascending else column < value)
+            same = F.coalesce(column == value, F.lit(False))
         later, equal = later | (equal & beyond), equal & same
     return later
 
@@ -78,7 +85,7 @@ def list_offenses(
     keys = _order(sort)
     rows = apply_predicates(df, preds)
     if after is not None:
-        rows = rows.where(_after(keys, after))
+        rows = rows.where(_after(rows, keys, after))
     ordered = rows.select(*PAGE_COLUMNS).orderBy(
         *[F.col(n).asc_nulls_last() if asc else F.col(n).desc_nulls_last() for n, asc in keys]
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -426,7 +424,7 @@ def article_sections(spark, sf) -> DataFrame:
 
 # --- queues and progress ---------------------------------------------------------------------------------------------
 
-_NOW = dt.datetime(2001, 12, 31)
+_NOW = "2001-12-31 00:00:00"
 
 
 def _queue_sql(days: int, order: str, extra: str = "") -> str:
