@@ -33,6 +33,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def schema_with(df: DataFrame, **added: str) -> T.StructType:
+    """A frame's schema and further columns, given as name and type."""
+    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in added.items()]
+    return T.StructType([*df.schema.fields, *more])
+
+
 def size_in_words(text: str = "text") -> Column:
     """Number of words; 0 for NULL."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import mixing, simhash, token_orc
+from noticelake.llm import decontaminate, language_id, mixing, perplexity, simhash, token_orc, url_filter
 from noticelake.llm.common import read_table
 from noticelake.storage import shared_dir
 
@@ -21,6 +21,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.fit_languages(docs.where("not held_out").select("text", "lang"))
+    return language_id.predict_languages(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge_quality(read_table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/noticelake-{spark.sparkContext.applicationId}/tokens-{uuid4().hex[:12]}"
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -75,6 +95,10 @@ FROM rated
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
+    "op3_perplexity_rules": op3_perplexity_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_orc": op7_token_orc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mix_sources": op10_mix_sources,

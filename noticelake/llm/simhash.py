@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import U64, key_runs, stage, texts
+from noticelake.llm.common import U64, key_runs, schema_with, stage, texts
 
 SHINGLE = 3
 RADIUS = 2
@@ -254,8 +254,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADI
             found = np.array([fingerprint(t, shingle) for t in texts(batch, at["text"])], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "fp"])
 
-    schema = named.schema.add("fp", "long")
-    marked = stage(named.mapInArrow(mark, schema).withColumn("row", F.monotonically_increasing_id()), "marked")
+    marked = stage(named.mapInArrow(mark, schema_with(named, fp="long")).withColumn("row", F.monotonically_increasing_id()), "marked")
     rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("row"))
     light = marked.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), "fp", "row")
     firsts = light.groupBy("fp").agg(F.min(rank).alias("first"))
