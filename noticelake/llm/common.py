@@ -154,3 +154,8 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     starts = spans[first, 0]
     last = np.concatenate((np.flatnonzero(first)[1:] - 1, [len(spans) - 1]))
     return list(zip(starts.tolist(), ends[last].tolist(), strict=True))
+
+
+def with_digest(kept: DataFrame) -> DataFrame:
+    """``kept`` as ``kept_sha256``, lowercase hex."""
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

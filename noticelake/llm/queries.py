@@ -8,8 +8,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, language_id, mixing, perplexity, simhash, token_orc, url_filter
-from noticelake.llm.common import read_table
+from noticelake.llm import decontaminate, language_id, mixing, perplexity, phrase_dedup, simhash, suffix_dedup, token_orc
+from noticelake.llm import url_filter
+from noticelake.llm.common import read_table, with_digest
 from noticelake.storage import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +36,10 @@ def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -47,6 +52,10 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digests(token_orc.read_tokens(spark, path))
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(phrase_dedup.remove_passages(read_table(spark, sf_dir, "documents")))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -98,8 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_perplexity_rules": op3_perplexity_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_orc": op7_token_orc,
+    "op8_phrase_dedup": op8_phrase_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
