@@ -124,24 +124,21 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Iterator[pa.Table]:
-    """Cut sorted rows into tables of ``at_least`` rows or more, never between rows of one key."""
+    """Cut sorted rows into tables of about ``at_least`` rows, never between rows of one key."""
     held: list[pa.Table] = []
-    rows = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        held.append(pa.Table.from_batches([batch]))
-        rows += batch.num_rows
-        if rows < at_least:
-            continue
-        table = pa.concat_tables(held)
+        table = pa.concat_tables([*held, pa.Table.from_batches([batch])])
         keys = table.column(key).to_numpy()
-        last = int(np.searchsorted(keys, keys[-1], side="left"))
-        if last:
-            yield table.slice(0, last)
-        held, rows = [table.slice(last)], table.num_rows - last
-    if rows:
-        yield pa.concat_tables(held)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        at = 0
+        while (i := int(np.searchsorted(cuts, at + at_least))) < len(cuts):
+            yield table.slice(at, int(cuts[i]) - at)
+            at = int(cuts[i])
+        held = [table.slice(at)]
+    if held and held[0].num_rows:
+        yield held[0]
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
