@@ -40,7 +40,7 @@ def _cutter(width: int, gram: int):
         starts = np.concatenate(([0], ends[:-1] + 1))
         a, b = starts[first].tolist(), ends[first + n - 2 + width].tolist()
         digests = [xxh3_128_digest(joined[i:j]) for i, j in zip(a, b, strict=True)]
-        return m, first, n, digests, np.zeros(len(m), bool)
+        return m, first, n, digests, np.zeros(len(m), bool), np.zeros(len(m), np.int32)
 
     return cut
 

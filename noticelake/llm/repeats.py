@@ -56,9 +56,10 @@ def segments_of(units: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, n
 
 
 def stored_segments(rows: DataFrame, cut: Callable[[bytes], tuple[list, ...] | None]) -> DataFrame:
-    """Segments of all texts, stored: ``sid, doc_id, t, m, h1, h2, start, n, inner``.
+    """Segments of all texts, stored: ``sid, doc_id, t, m, h1, h2, start, n, inner, place``.
 
-    ``cut`` gives minimizers, starts, window counts, 16-byte content digests and whether the minimizer occurs twice.
+    ``cut`` gives minimizers, starts, window counts, 16-byte content digests, whether the minimizer occurs twice, and its
+    first place in the content.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,19 +71,19 @@ def stored_segments(rows: DataFrame, cut: Callable[[bytes], tuple[list, ...] | N
                     batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), texts(batch), strict=True
                 ):
                     if text and (found := cut(text)) is not None:
-                        m, start, n, digests, inner = found
+                        m, start, n, digests, inner, place = found
                         h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                        parts.append((np.full(len(m), doc_id), np.full(len(m), t), m, h[:, 0], h[:, 1], start, n, inner))
+                        parts.append((np.full(len(m), doc_id), np.full(len(m), t), m, h[:, 0], h[:, 1], start, n, inner, place))
                 if parts:
                     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
                     columns[2] = columns[2].view(np.int64)
-                    kinds = [np.int64] * 5 + [np.int32, np.int32, np.bool_]
+                    kinds = [np.int64] * 5 + [np.int32, np.int32, np.bool_, np.int32]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c.astype(k, copy=False)) for c, k in zip(columns, kinds, strict=True)],
-                        names=["doc_id", "t", "m", "h1", "h2", "start", "n", "inner"],
+                        names=["doc_id", "t", "m", "h1", "h2", "start", "n", "inner", "place"],
                     )
 
-    found = rows.mapInArrow(emit, "doc_id long, t long, m long, h1 long, h2 long, start int, n int, inner boolean")
+    found = rows.mapInArrow(emit, "doc_id long, t long, m long, h1 long, h2 long, start int, n int, inner boolean, place int")
     return stage(found.withColumn("sid", F.monotonically_increasing_id()), "segments")
 
 
@@ -99,29 +100,30 @@ def segment_kinds(segments: DataFrame, recurring: str) -> DataFrame:
         F.min("sid").alias("sid"),
         F.max("n").alias("n"),
         F.max("inner").alias("inner"),
+        F.max("place").alias("place"),
     )
     by_minimizer = each.groupBy("m").agg(F.count("*").alias("kinds"), F.sum("occurs").alias("all")).where("all > 1 or kinds > 1")
     inner = each.where("inner and occurs = 1").join(by_minimizer.select("m"), "m", "left_anti").withColumn("kinds", F.lit(1).cast("long"))
     joined = each.join(by_minimizer.select("m", "kinds"), "m").where(f"kinds > 1 or inner or {recurring}")
-    columns = ["m", "h1", "h2", "occurs", "first", "last", "sid", "n", "inner", "kinds"]
+    columns = ["m", "h1", "h2", "occurs", "first", "last", "sid", "n", "inner", "place", "kinds"]
     return stage(joined.select(columns).unionByName(inner.select(columns)), "kinds")
 
 
 def with_contents(kinds: DataFrame, segments: DataFrame, rows: DataFrame, content: Callable[[bytes], Callable[[int, int], bytes]]) -> DataFrame:
-    """``m, h1, h2, n, first, last, kinds, content`` of the given kinds, from the document of their example.
+    """``m, h1, h2, n, first, last, kinds, inner, place, content`` of the given kinds, from the document of their example.
 
     A document's segments are gathered with it: as many as its text has.
     """
     places = (
-        kinds.select("sid", "kinds", "first", "last", F.col("h1"), F.col("h2"), F.col("m"), F.col("n"))
+        kinds.select("sid", "kinds", "first", "last", "h1", "h2", "m", "n", "inner", "place")
         .join(segments.select("sid", "doc_id", "t", "start"), "sid")
         .groupBy("doc_id", "t")
-        .agg(F.collect_list(F.struct("m", "h1", "h2", "start", "n", "first", "last", "kinds")).alias("places"))
+        .agg(F.collect_list(F.struct("m", "h1", "h2", "start", "n", "first", "last", "kinds", "inner", "place")).alias("places"))
     )
     once = rows.join(places, ["doc_id", "t"]).select("doc_id", "t", "text", "places")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["m", "h1", "h2", "n", "first", "last", "kinds"]
+        names = ["m", "h1", "h2", "n", "first", "last", "kinds", "inner", "place"]
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
@@ -135,7 +137,8 @@ def with_contents(kinds: DataFrame, segments: DataFrame, rows: DataFrame, conten
                     out += [piece(starts[j], n[j]) for j in range(int(offsets[i] - offsets[0]), int(offsets[i + 1] - offsets[0]))]
                 yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), pa.array(out, pa.binary())], names=[*names, "content"])
 
-    found = once.mapInArrow(fetch, "m long, h1 long, h2 long, n int, first long, last long, kinds long, content binary")
+    kind = "m long, h1 long, h2 long, n int, first long, last long, kinds long, inner boolean, place int, content binary"
+    found = once.mapInArrow(fetch, kind)
     # Rows given twice fetch twice.
     return stage(found.dropDuplicates(["m", "h1", "h2"]), "contents")
 

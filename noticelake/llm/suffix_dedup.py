@@ -7,6 +7,7 @@ ones that can hold equal strings, a few hundred kilobytes at a time.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,18 +144,41 @@ def _cutter(length: int, gram: int):
         if len(text) < length:
             return None
         m, first, n, grams = repeats.segments_of(np.frombuffer(text, np.uint8), length, gram)
-        digests, inner = [], []
+        digests, inner, place = [], [], []
         for v, a, k in zip(m, first.tolist(), n.tolist(), strict=True):
             digests.append(xxh3_128_digest(text[a : a + k - 1 + length]))
-            inner.append(np.count_nonzero(grams[a : a + k - 1 + span] == v) > 1)
-        return m, first, n, digests, np.array(inner)
+            found = np.flatnonzero(grams[a : a + k - 1 + span] == v)
+            inner.append(len(found) > 1)
+            place.append(found[0])
+        return m, first, n, digests, np.array(inner), np.array(place)
 
     return cut
 
 
-def _arrays(length: int):
+def _related(table: pa.Table, length: int, gram: int) -> np.ndarray:
+    """Segments that agree with another of their minimizer on enough bytes before or behind it.
+
+    A string holds the minimizer and ``length - gram`` other bytes, at least half of them on one side.
+    """
+    side = (length - gram + 1) // 2
+    keys: list[tuple] = []
+    rows = zip(*(table.column(c).to_pylist() for c in ("m", "place", "content", "inner")), strict=True)
+    for i, (m, place, content, inner) in enumerate(rows):
+        left, right = content[max(0, place - side) : place], content[place + gram : place + gram + side]
+        keys.append((m, 0, left) if len(left) == side else i)
+        keys.append((m, 1, right) if len(right) == side else i)
+        if inner:
+            keys[-2:] = [(m, 2, i)] * 2
+    times = Counter(k for k in keys if not isinstance(k, int))
+    return np.array([max(times[a], times[b]) > 1 for a, b in zip(keys[::2], keys[1::2], strict=True)], bool)
+
+
+def _arrays(length: int, gram: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_runs(batches, "m", max(1, ARRAY_BYTES // (2 * length))):
+        for table in key_runs(batches, "m", max(1, ARRAY_BYTES // length)):
+            table = table.filter(pa.array(_related(table, length, gram)))
+            if not table.num_rows:
+                continue
             pieces, windows = table.column("content").to_pylist(), table.column("n").to_pylist()
             again = repeated_windows(pieces, windows, length)
             owner = np.repeat(np.arange(len(windows)), windows)
@@ -190,7 +214,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     contents = repeats.with_contents(several, segments, rows, lambda text: lambda a, n: text[a : a + n - 1 + length])
     whole = kinds.where("occurs > 1").select("m", "h1", "h2", F.lit(0).alias("a"), F.col("n").alias("b"))
     compared = repeats.dealt(contents.where(F.col("kinds") <= group_limit)).mapInArrow(
-        _arrays(length), "m long, h1 long, h2 long, a int, b int"
+        _arrays(length, gram), "m long, h1 long, h2 long, a int, b int"
     )
     windows = repeats.window_groups(
         contents.where(F.col("kinds") > group_limit), lambda c: np.frombuffer(c, np.uint8), length
