@@ -6,7 +6,10 @@ ids before it in that part; a part's first row and total give the global start,
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,47 +27,109 @@ INDEX_STRIDE = 2_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
 
+# Lower-case letters of Latin-1: normalizing leaves them alone, and a run of them is one piece.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_TAIL = ".,;:!?"
+# The preparation a vocabulary must have for its words to be encoded apart, with pieces of letters, digits or neither.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordIds(dict):
-    """Ids of words, remembered. White space never joins tokens in this kind of vocabulary, so words encode apart."""
+    """Ids of words as bytes, remembered for words seen lately: beyond ``limit`` words, all not met since the last time go.
+
+    Where white space never joins tokens, words encode apart. A word of letters is one piece, and marks behind it are
+    another; the model encodes them without the steps before it. All else goes through the tokenizer as it is, and so
+    do whole texts if the vocabulary prepares them in another way.
+    """
 
     def __init__(self, path: str, limit: int = 300_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model, self.older = self.tokenizer.model, {}
+        self.packed = [array("i", [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _encode(self, strings: list[str]) -> list[np.ndarray]:
-        encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in encoded]
-
-    def documents(self, docs: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text. A text that spells a special token is encoded as it is, as that match heeds case."""
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xDF, 0x100)]
+        self.as_bytes = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        self.tails: dict[str, bytes] = {}
+        plan = json.loads(self.tokenizer.to_str())
+        normalizers = [n["type"] for n in (plan.get("normalizer") or {}).get("normalizers", [])]
+        first = ((plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = normalizers == _NORMALIZERS and first.get("pattern") == {"Regex": _PIECES}
+
+    def _encode(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        rest, tokenize, packed, older = [], self.model.tokenize, self.packed, self.older
+        for word in words:
+            if (known := older.get(word)) is not None:
+                self[word] = known
+                continue
+            low = word.decode("utf-8", "replace")
+            stem = low.rstrip(_TAIL)
+            if low.isascii():
+                if not stem.isalpha():
+                    rest.append(word)
+                    continue
+                ids = b"".join([packed[t.id] for t in tokenize(stem)])
+            else:
+                low = low.lower()
+                stem = low.rstrip(_TAIL)
+                if not _LETTERS.fullmatch(stem):
+                    rest.append(word)
+                    continue
+                ids = b"".join([packed[t.id] for t in tokenize(stem.translate(self.as_bytes))])
+            if len(stem) < len(low):
+                ids += self._tail(low[len(stem) :])
+            self[word] = ids
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            found = self._encode([w.decode("utf-8", "replace") for w in part])
+            self.update(zip(part, (array("i", ids).tobytes() for ids in found), strict=True))
+
+    def _tail(self, marks: str) -> bytes:
+        if marks in self.tails:
+            return self.tails[marks]
+        ids = array("i", self._encode([marks])[0]).tobytes()
+        if len(marks) < 4:
+            self.tails[marks] = ids
+        return ids
+
+    def documents(self, docs: list[bytes]) -> list[bytes]:
+        """Ids of each text, as native 32-bit integers. A text that spells a special token is encoded whole."""
         if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
         split: list[list[bytes] | None] = []
-        new: dict[bytes, None] = {}
+        new: set[bytes] = set()
         for text in docs:
             low = text.lower()
-            if any(s in low for s in self.specials):
+            if not self.by_word or any(s in low for s in self.specials):
                 split.append(None)
                 continue
             words = low.split()
             split.append(words)
-            new.update(dict.fromkeys(w for w in words if w not in self))
-        fresh = list(new)
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i : i + 50_000]
-            self.update(zip(part, self._encode([w.decode("utf-8", "replace") for w in part]), strict=True))
-        out = []
-        for text, words in zip(docs, split, strict=True):
-            if words is None:
-                out.append(self._encode([text.decode("utf-8", "replace")])[0])
-            elif words:
-                out.append(np.concatenate([self[w] for w in words]))
-            else:
-                out.append(np.empty(0, np.int32))
-        return out
+            new.update(words)
+        self._learn([w for w in new if w not in self])
+        get = self.__getitem__
+        return [
+            array("i", self._encode([text.decode("utf-8", "replace")])[0]).tobytes() if words is None else b"".join(map(get, words))
+            for text, words in zip(docs, split, strict=True)
+        ]
+
+
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The words this Python process knows: its next tasks use them too."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
 
 
 def _encoder(path: str, end_id: int):
@@ -82,15 +147,15 @@ def _encoder(path: str, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, part, start = WordIds(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.int32)
+        words, part, start = word_ids(path), TaskContext.get().partitionId(), 0
+        end = array("i", [end_id]).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids = [np.concatenate((x, end)) for x in words.documents([t or b"" for t in texts(batch)])]
-                n = np.array([len(x) for x in ids], np.int64)
+                ids = words.documents([t or b"" for t in texts(batch)])
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
                 offsets = np.concatenate(([0], np.cumsum(n)))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(end.join(ids) + end, np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").cast(pa.int64()),
@@ -152,7 +217,8 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     rows = files if where is None else files.where(where)
-    return rows.join(bases, "part").select(
+    # One row of two numbers per part, and no more parts than tasks that wrote them.
+    return rows.join(F.broadcast(bases), "part").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids"
     )
 
