@@ -33,6 +33,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """A summary table, stored, as a side of a join: broadcast when it has at most ``most`` rows, else left to Spark."""
+    stored = stage(df, name)
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def schema_with(df: DataFrame, **added: str) -> T.StructType:
     """A frame's schema and further columns, given as name and type."""
     more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in added.items()]

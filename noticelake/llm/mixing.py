@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from noticelake.llm.common import size_in_words
+from noticelake.llm.common import size_in_words, small_side
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -70,10 +70,10 @@ def mixing_rates(
 
     The coin of a row is a hash of seed, id and text, so reruns agree whatever the partitions. NULL texts have size 0
     and NULL sources are one source, the last; equal rows get equal copies. Columns of those names in the input are
-    replaced. A source's row joins its documents; Spark's own size threshold decides whether it is broadcast.
+    replaced. The table of sources is broadcast while it is small, as counted; beyond that it is joined like any other.
     """
     docs = docs.drop("mix_size", "mix_source", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
-    targets = source_targets(docs, weights, share, limit)
+    targets = small_side(source_targets(docs, weights, share, limit), "targets")
     digest = F.md5(
         F.concat(
             F.lit(f"{seed}|"),
@@ -83,14 +83,11 @@ def mixing_rates(
         )
     )
     coin = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
-    rated = docs.join(targets, docs["source"].cast("string").eqNullSafe(targets["mix_source"])).drop("mix_source")
+    tossed = docs.withColumns({"mix_size": size_in_words(), "mix_coin": coin})
+    rated = tossed.join(targets, tossed["source"].cast("string").eqNullSafe(targets["mix_source"])).drop("mix_source")
     whole = F.floor("mix_rate")
-    return rated.withColumns(
-        {
-            "mix_size": size_in_words(),
-            "mix_copies": (whole + (coin < F.col("mix_rate") - whole).cast("long")).cast("long"),
-        }
-    )
+    copies = (whole + (F.col("mix_coin") < F.col("mix_rate") - whole).cast("long")).cast("long")
+    return rated.withColumn("mix_copies", copies).drop("mix_coin")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import U64, WordHashes, mix, stage, texts, window_hashes
+from noticelake.llm.common import U64, WordHashes, mix, small_side, stage, texts, window_hashes
 
 ORDER = 5
 TABLE_BITS = 21
@@ -314,7 +314,7 @@ def judge_quality(docs: DataFrame, bits: int = TABLE_BITS, width: float = BAND_W
     texts have no words and fail; NULL languages count as one. Equal texts of a language get equal results.
     """
     scored = stage(score_documents(docs, fit_model(docs, bits)), "scored")
-    bands = perplexity_bands(scored, width, least)
+    bands = small_side(perplexity_bands(scored, width, least), "bands")
     joined = scored.join(bands, scored["lang"] == bands["band_lang"], "left")
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
     return joined.select(

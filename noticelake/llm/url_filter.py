@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm.common import small_side
+
 #: (verdict, host, path); a rule fits its host and all subdomains when the path starts with the rule's.
 RULES = (
     ("block", "net", "/"),
@@ -156,7 +158,7 @@ def judge_urls(
         only = "block" if 1.0 in classes else "allow"
         judged = parsed.withColumns({"p_block": F.lit(1.0 if only == "block" else 0.0), "other": F.lit(only)})
     else:
-        statistics = suffix_statistics(known)
+        statistics = small_side(suffix_statistics(known), "suffixes")
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
         def featured(df: DataFrame) -> DataFrame:
