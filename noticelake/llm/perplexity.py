@@ -1,9 +1,10 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model counted in Spark, and bands per language.
 
 The model predicts the bytes of words from the four before them, blanks standing for a word's edges; n-grams of each
-language are apart. Counts cover every word of every text. All orders are kept as sorted arrays of n-gram hashes of
-``TABLE_BITS`` bits, so that an order has at most 2**TABLE_BITS entries however large the corpus; n-grams that share a hash
-share counts. Words repeat, so a task scores a word once.
+language are apart. Counts cover every word of every text. All orders are kept as sorted arrays of n-gram hashes: the leading
+``TABLE_BITS`` bits are a slot, so that an order has at most 2**TABLE_BITS entries however large the corpus, and
+``CHECK_BITS`` more tell a slot's n-gram from others. N-grams that share a slot add up for the most frequent of them; the
+others count as unseen. Words repeat, so a task scores a word once.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ from noticelake.llm.common import U64, WordHashes, mix, small_side, stage, texts
 
 ORDER = 5
 TABLE_BITS = 21
+CHECK_BITS = 16
+#: From this order on, n-grams that were met once are left out.
+PRUNED_FROM = 3
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Bounds lie this many times the way from the median to the outer tenths beyond the median, and at least so far off.
 BAND_WIDTH = 6.0
-BAND_LEAST = 0.35
+BAND_LEAST = 0.6
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 _FLUSH = 250_000
@@ -54,10 +58,10 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_ids(keys: np.ndarray, order: int, seeds: np.ndarray | int, bits: int) -> np.ndarray:
-    """Hash of n-grams of ``order`` bytes of a language, ``bits`` long."""
+    """Hash of n-grams of ``order`` bytes of a language: a slot of ``bits`` and ``CHECK_BITS`` behind it."""
     with np.errstate(over="ignore"):
         salted = keys ^ mix(np.asarray(seeds, U64) + U64(order))
-        return (mix(salted) >> U64(64 - bits)).astype(np.uint32)
+        return (mix(salted) >> U64(64 - bits - CHECK_BITS)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -155,7 +159,7 @@ def fit_model(docs: DataFrame, bits: int = TABLE_BITS) -> NgramModel:
             lang = batch.column("lang").dictionary_encode()
             seeds = np.array([language_seed(x) for x in lang.dictionary.to_pylist()], U64)[lang.indices.to_numpy()]
             order, keys = batch.column("order").to_numpy(), batch.column("key").to_numpy().astype(U64)
-            out = {k: np.zeros(len(keys), np.int32) for k in ("id", "context", "suffix")}
+            out = {k: np.zeros(len(keys), np.int64) for k in ("id", "context", "suffix")}
             for k in np.unique(order).tolist():
                 own = order == k
                 for name, cut, size in (
@@ -170,33 +174,37 @@ def fit_model(docs: DataFrame, bits: int = TABLE_BITS) -> NgramModel:
             )
 
     table = (
-        orders.mapInArrow(hashed, "order int, id int, context int, suffix int, n long")
-        .groupBy("order", "id")
-        .agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+        orders.mapInArrow(hashed, "order int, id long, context long, suffix long, n long")
+        .withColumn("rank", F.col("n") * (1 << CHECK_BITS) + F.col("id").bitwiseAND((1 << CHECK_BITS) - 1))
+        .groupBy("order", F.shiftright("id", CHECK_BITS).alias("slot"))
+        .agg(F.sum("n").alias("n"), *[F.max_by(c, "rank").alias(c) for c in ("id", "context", "suffix")])
         .toArrow()
     )
     columns = {c: table.column(c).to_numpy() for c in table.column_names}
     model = NgramModel(bits, [], [])
-    lower: np.ndarray | None = None
+    lower_ids = lower = np.zeros(0)
     for order in range(1, ORDER + 1):
         own = np.flatnonzero(columns["order"] == order)
         own = own[np.argsort(columns["id"][own])]
-        ids, n = columns["id"][own].astype(np.uint32), columns["n"][own].astype(np.float64)
+        ids, n = columns["id"][own], columns["n"][own].astype(np.float64)
         context, at = np.unique(columns["context"][own], return_inverse=True)
         discount = _discounts(n)
         taken = discount[np.minimum(n, 3).astype(int)]
+        # A long n-gram met once says nothing about the text it was counted in: its whole count goes to the shorter ones.
+        once = (n <= 1) & (order >= PRUNED_FROM)
+        taken[once] = n[once]
         total, freed = np.bincount(at, n), np.bincount(at, taken)
         weight = freed / np.maximum(total, 1e-9) if len(at) else np.zeros(0)
         if order == 1:
             below = np.full(len(ids), 1 / 256)
         else:
-            below_ids = model.grams[-1][0]
-            hit, place = _find(below_ids, columns["suffix"][own].astype(np.uint32))
-            below = np.where(hit, lower[place] if len(lower) else 0, 1 / 256)
+            hit, place = _find(lower_ids, columns["suffix"][own])
+            below = np.full(len(ids), 1 / 256)
+            below[hit] = lower[place[hit]]
         p = (n - taken) / total[at] + weight[at] * below if len(at) else np.zeros(0)
-        model.grams.append((ids, np.log(np.maximum(p, 1e-12)).astype(np.float32)))
-        model.contexts.append((context.astype(np.uint32), np.log(np.maximum(weight, 1e-6)).astype(np.float32)))
-        lower = p
+        model.grams.append((ids[~once], np.log(np.maximum(p[~once], 1e-12)).astype(np.float32)))
+        model.contexts.append((context, np.log(np.maximum(weight, 1e-6)).astype(np.float32)))
+        lower_ids, lower = ids, p
     return model
 
 

@@ -66,36 +66,42 @@ def _letters(words: list[list[bytes]]) -> list[str]:
     return out
 
 
-def shard_matches(segments: list[list[bytes]], first: list[int], width: int) -> list[list[tuple[int, int, int]]]:
+def shard_matches(
+    segments: list[list[bytes]], first: list[int], width: int, hashes: WordHashes | None = None
+) -> list[list[tuple[int, int, int]]]:
     """For each segment, windows ``[a, b)`` that recur among the segments, with the least ``first`` of those that hold them.
 
-    A window is confirmed when its hash occurs twice; the automaton then finds its occurrences word by word.
+    A window is confirmed when its hash occurs twice; the automaton then finds its occurrences word by word. Segments
+    without a confirmed window have nothing to find.
     """
     from ahocorasick import STORE_INTS, Automaton
 
-    hashes = WordHashes()
+    hashes = WordHashes() if hashes is None else hashes
     found = [window_hashes(hashes.of(s), width) for s in segments]
-    everything, times = np.unique(np.concatenate(found), return_counts=True)
-    recurring = everything[times > 1]
+    _, which, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    again = times[which] > 1
     out: list[list[tuple[int, int, int]]] = [[] for _ in segments]
-    if not len(recurring):
+    at = np.flatnonzero(again)
+    if not len(at):
         return out
-    lines = _letters(segments)
+    edges = np.cumsum([len(f) for f in found])
+    owner = np.searchsorted(edges, at, side="right")
+    offset = at - np.concatenate(([0], edges[:-1]))[owner]
+    chosen = np.unique(owner).tolist()
+    lines = dict(zip(chosen, _letters([segments[i] for i in chosen]), strict=True))
     automaton = Automaton(STORE_INTS)
-    patterns = 0
-    for line, own in zip(lines, found, strict=True):
-        for a in np.flatnonzero(np.isin(own, recurring)).tolist():
-            window = line[a : a + width]
-            if window not in automaton:
-                automaton.add_word(window, patterns)
-                patterns += 1
+    added: set[int] = set()
+    for i, a, w in zip(owner.tolist(), offset.tolist(), which[at].tolist(), strict=True):
+        if w not in added:
+            automaton.add_word(lines[i][a : a + width], w)
+            added.add(w)
     automaton.make_automaton()
-    hits = [list(automaton.iter(line)) for line in lines]
+    hits = {i: list(automaton.iter(line)) for i, line in lines.items()}
     least: dict[int, int] = {}
-    for own, doc in zip(hits, first, strict=True):
+    for i, own in hits.items():
         for _, p in own:
-            least[p] = min(least.get(p, doc), doc)
-    for i, own in enumerate(hits):
+            least[p] = min(least.get(p, first[i]), first[i])
+    for i, own in hits.items():
         for end, p in own:
             a = end - width + 1
             if out[i] and out[i][-1][1] == a and out[i][-1][2] == least[p]:
@@ -107,13 +113,14 @@ def shard_matches(segments: list[list[bytes]], first: list[int], width: int) ->
 
 def _automata(width: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for table in key_runs(batches, "m", SHARD_SEGMENTS):
             segments = [c.split() for c in table.column("content").to_pylist()]
             first, last = table.column("first").to_pylist(), table.column("last").to_pylist()
             keys = list(zip(*(table.column(c).to_pylist() for c in ("m", "h1", "h2")), strict=True))
             rows = [
                 (*keys[i], a, b, doc)
-                for i, spans in enumerate(shard_matches(segments, first, width))
+                for i, spans in enumerate(shard_matches(segments, first, width, hashes))
                 for a, b, doc in spans
                 if doc < last[i]
             ]
