@@ -119,7 +119,9 @@ class NgramModel:
 
     def log_probabilities(self, words: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Sum over each word's bytes and its end, and how many those are."""
-        keys, per_word = word_grams(words)
+        met, per_word = word_grams(words)
+        # Words share most of their n-grams, so each is looked up once.
+        keys, which = np.unique(met, return_inverse=True)
         total = np.zeros(len(keys))
         open_ = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
@@ -132,7 +134,7 @@ class NgramModel:
             hit, at = _find(ids, gram_ids(own >> U64(8), order - 1, seed, self.bits))
             total[open_[hit]] += values[at[hit]]
         total[open_] += np.log(1 / 256)
-        return np.add.reduceat(total, np.concatenate(([0], np.cumsum(per_word)[:-1]))), per_word
+        return np.add.reduceat(total[which], np.concatenate(([0], np.cumsum(per_word)[:-1]))), per_word
 
 
 def _find(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
