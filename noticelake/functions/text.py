@@ -104,13 +104,9 @@ def clean_description(c: Column | str) -> Column:
     return F.ltrim(_col(c), F.lit(": "))
 
 
-def sanitize_location(c: Column | str, max_bytes: int = 500) -> Column:
-    """Trim, then keep at most ``max_bytes`` UTF-8 bytes without cutting a character."""
-    text = trim_space(c)
-    cut = F.regexp_replace(
-        F.decode(F.substring(F.encode(text, "UTF-8"), 1, max_bytes), "UTF-8"), "�+$", ""
-    )
-    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(cut)
+def sanitize_location(c: Column | str) -> Column:
+    """Trim. The text is half of a key and stays whole; the validation of judgments reports what is too long."""
+    return trim_space(c)
 
 
 def drop_facing_number(c: Column | str) -> Column:

@@ -198,6 +198,16 @@ def upsert_articles(articles: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def latest_wins(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Union in which incoming rows replace stored rows of the same key. Incoming is unique on the key."""
-    kept = stored.join(incoming.select(*keys), keys, "left_anti")
-    return kept.unionByName(incoming.select(*stored.columns))
+    """Union in which incoming rows replace stored rows of the same key.
+
+    If a key arrives more than once its last row by ``updated_at`` wins, of equally late ones that with the larger hash.
+    """
+    rest = [c for c in stored.columns if c not in keys]
+    recency = [c for c in ("updated_at",) if c in rest]
+    once = (
+        incoming.groupBy(*keys)
+        .agg(F.max_by(F.struct(*rest), F.struct(*recency, F.xxhash64(*rest).alias("_h"))).alias("_v"))
+        .select(*keys, *[F.col("_v")[c].alias(c) for c in rest])
+    )
+    kept = stored.join(once.select(*keys), keys, "left_anti")
+    return kept.unionByName(once.select(*stored.columns))

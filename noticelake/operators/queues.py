@@ -11,9 +11,6 @@ from noticelake.operators.enrich import resolve_parts
 from noticelake.operators.similarity import _is_multi, suggest_all, suggest_breakdown
 from noticelake.storage import checkpoint
 
-# Rows a queue shows (fixed value).
-QUEUE_LIMIT = 1000
-# End of fixed values.
 WINDOW_DAYS = {"window_7": 7, "window_30": 30}
 
 
@@ -37,9 +34,9 @@ def location_queue(
     sort: str = "frequency",
     now: dt.datetime | Column | None = None,
     db_id: int | None = None,
-    limit: int = QUEUE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Locations without judgment, the most urgent first.
+    """Locations without judgment, the most urgent first; all of them unless ``limit`` asks for a page.
 
     Rows are counted per location before the anti-join, so a location holding most offenses is one row in it.
     """
@@ -62,7 +59,8 @@ def location_queue(
         order = [window, frequency, newest]
     else:
         order = [frequency, newest]
-    return waiting.orderBy(*order, F.col("location").asc(), F.col("db_id").asc()).limit(limit)
+    ordered = waiting.orderBy(*order, F.col("location").asc(), F.col("db_id").asc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def geocoding_progress(df: DataFrame, locations: DataFrame, db_id: int | None = None) -> DataFrame:
@@ -216,7 +214,7 @@ def suggestion_report(
     articles: DataFrame,
     threshold: float,
     multi_article: bool = False,
-    limit: int | None = 10000,
+    limit: int | None = None,
 ) -> DataFrame:
     """Suggestions for the queue of unclassified texts: (description, pos, part, article_id, score).
 
