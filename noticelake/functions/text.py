@@ -153,11 +153,16 @@ ALLOWED_TEXT = r"(?iu)^[ -\u007Fáéíóöúñº°ªq]*$"
 # End of fixed values.
 
 
-def clean_text(c: Column | str) -> Column:
-    """struct(text, error): known bad spellings repaired, error set when a foreign character is left."""
+def repair_text(c: Column | str) -> Column:
+    """Known bad spellings repaired."""
     text = _col(c)
     for bad, good in MOJIBAKE:
         text = F.replace(text, F.lit(bad), F.lit(good))
+    return text
+
+
+def check_text(text: Column) -> Column:
+    """struct(text, error): error set, and no text, when a foreign character is left."""
     valid = text.rlike(ALLOWED_TEXT)
     return F.struct(
         F.when(valid, text).alias("text"),
@@ -165,6 +170,16 @@ def clean_text(c: Column | str) -> Column:
     )
 
 
+def clean_texts(texts: Column) -> Column:
+    """:func:`clean_text` of each text of an array; the repairs run once per text."""
+    return F.transform(F.transform(texts, repair_text), check_text)
+
+
+def clean_text(c: Column | str) -> Column:
+    """struct(text, error): known bad spellings repaired, error set when a foreign character is left."""
+    return check_text(repair_text(c))
+
+
 def contains_any_case(c: Column, needle: str) -> Column:
     """Case-insensitive substring test; the needle is taken literally."""
     return F.contains(F.lower(c), F.lit(needle.lower()))

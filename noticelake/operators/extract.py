@@ -12,6 +12,7 @@ from noticelake.functions.amounts import parse_ur
 from noticelake.functions.text import (
     clean_description,
     clean_text,
+    clean_texts,
     country_iso,
     literal_lookup,
     normalize_header,
@@ -51,6 +52,7 @@ PLATE = "(?i)^[A-Z0-9]{4,10}$"
 EARLIEST = "2015-01-01"
 INVALID_PLATE, MISSING_TIME, MISSING_DESCRIPTION = "matrícula inválida", "falta horario", "falta descripción"
 NO_DESCRIPTION_COLUMN = "tabla sin columna descripción"
+NO_DOCUMENT_ID = "document ID not found"
 MAX_ERROR_PERCENT = 5.0
 # End of fixed values.
 
@@ -76,9 +78,10 @@ def _plain_header(name: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFD", letters) if unicodedata.category(ch) != "Mn").lower()
 
 
-def reject_pages(documents: DataFrame, titles: Sequence[str] = LOGIN_TITLES) -> DataFrame:
-    """Documents but for those whose title says the page is a login form."""
-    return documents.where(~F.coalesce(F.col("title").isin(*titles), F.lit(False)))
+def is_login(title: Column | str, titles: Sequence[str] = LOGIN_TITLES) -> Column:
+    """True when the title says the page is a login form."""
+    title = F.col(title) if isinstance(title, str) else title
+    return F.coalesce(title.isin(*titles), F.lit(False))
 
 
 def default_description(body: Column | str, phrases: Sequence[str] = DEFAULT_PHRASES) -> Column:
@@ -102,12 +105,19 @@ def _doc_id(title: Column, issuers: Column) -> Column:
     return F.get(F.filter(F.transform(issuers, after), lambda w: w.isNotNull()), 0)
 
 
-def _doc_date(headings: Column) -> Column:
-    """Publication date of the last heading that gives one."""
-    lower = F.transform(headings, lambda h: F.lower(clean_text(h)["text"]))
+def _dates(headings: Column) -> Column:
+    """array<struct(text, date)>: the publication dates of cleaned headings; an unreadable one has a NULL date."""
+    lower = F.transform(headings, lambda h: F.lower(h["text"]))
     dated = F.filter(lower, lambda h: F.contains(h, F.lit(PUBLISHED)))
-    text = trim_space(F.substring_index(F.element_at(dated, -1), PUBLISHED, -1))
-    return F.when(F.size(dated) > 0, F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).cast("date"))
+    return F.transform(
+        F.transform(dated, lambda h: trim_space(F.substring_index(h, PUBLISHED, -1))),
+        lambda x: F.struct(x.alias("text"), F.try_to_timestamp(x, F.lit("dd/MM/yyyy")).cast("date").alias("date")),
+    )
+
+
+def _first(texts: Column) -> Column:
+    """First text of an array that is not NULL."""
+    return F.get(F.filter(texts, lambda e: e.isNotNull()), 0)
 
 
 def extract_documents(
@@ -115,22 +125,41 @@ def extract_documents(
     issuers: DataFrame,
     keep: Sequence[str] = ("doc_source", "db_id"),
     titles: Sequence[str] = LOGIN_TITLES,
+    phrases: Sequence[str] = DEFAULT_PHRASES,
 ) -> DataFrame:
-    """(doc_source, db_id, doc_id, doc_date, title, default_description, rows) per page.
+    """(…keep, doc_id, doc_date, title, page_error, described_from, tables): one row per page, whatever its state.
 
     ``pages`` has ``doc_source``, ``db_id`` and ``html``; ``issuers`` is (db_id, issuers array<text>), one row per database.
+    ``page_error`` says why a page is no notice: NULL html, a login form, a foreign character in its title or headings, or a
+    publication date that is none. A page without a date heading has a NULL ``doc_date`` and no error. Tables numbered
+    ``described_from`` or more (from 0) follow a phrase that stands for the missing description column.
     """
-    texts = reject_pages(notice_texts(pages, keep), titles)
+    texts = notice_texts(pages, keep)
     known = texts.join(issuers.select("db_id", "issuers"), "db_id", "left")
-    cleaned = known.withColumn("_title", F.lower(clean_text("title")["text"]))
-    return cleaned.select(
+    cleaned = known.withColumns({"_title": clean_text("title"), "_headings": clean_texts(F.col("headings"))})
+    dated = cleaned.withColumn("_dates", _dates(F.col("_headings")))
+    bad_date = F.get(F.filter("_dates", lambda d: d["date"].isNull()), 0)["text"]
+    page_error = (
+        F.when(F.col("title").isNull(), "unreadable page")
+        .when(is_login("title", titles), "login page")
+        .otherwise(
+            F.coalesce(
+                F.col("_title")["error"],
+                _first(F.transform("_headings", lambda h: h["error"])),
+                F.concat(F.lit('invalid publication date "'), bad_date, F.lit('"')),
+            )
+        )
+    )
+    described = F.transform("body", lambda b: default_description(b, phrases).isNotNull())
+    return dated.select(
         *keep,
-        _doc_id(F.col("_title"), F.col("issuers")).alias("doc_id"),
-        _doc_date(F.col("headings")).alias("doc_date"),
+        _doc_id(F.lower(F.col("_title")["text"]), F.col("issuers")).alias("doc_id"),
+        F.try_element_at(F.filter("_dates", lambda d: d["date"].isNotNull()), F.lit(-1))["date"].alias("doc_date"),
         "title",
-        default_description("body").alias("default_description"),
-        "rows",
-    )
+        page_error.alias("page_error"),
+        F.nullif(F.array_position(described, True), F.lit(0)).cast("int").alias("_place"),
+        F.when(~is_login("title", titles), F.col("tables")).alias("tables"),
+    ).select(*keep, "doc_id", "doc_date", "title", "page_error", (F.col("_place") - 1).alias("described_from"), "tables")
 
 
 def _positions(props: Column) -> dict[str, Column]:
@@ -144,46 +173,75 @@ def extract_rows(
     headers: Mapping[str, Sequence[str]] = HEADERS,
     overrides: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per table row below the header: (…document, record_id, doc_error, cells, column positions).
+    """One row per table row below a header: (…document, doc_error, table_no, record_id, cells, column positions).
 
-    ``overrides`` (doc_source, properties array<text>) names the columns of documents whose table has no header row.
-    A document with an unknown header keeps its rows, marked by ``doc_error``.
+    Each table has its own header; tables and the records of each count from 1. A document without such rows has one row with
+    NULL ``record_id`` and ``cells``. ``overrides`` (doc_source, properties array<text>) names the columns of documents
+    whose tables have no header row. ``doc_error`` is the page's error or that of its first faulty header; its rows stay, marked.
+    ``cells`` are cleaned: array<struct(text, error)>.
     """
     docs = documents
     if overrides is None:
         docs = docs.withColumn("_given", F.lit(None).cast("array<string>"))
     else:
         docs = docs.join(overrides.select("doc_source", F.col("properties").alias("_given")), "doc_source", "left")
-    first = F.coalesce(F.get("rows", 0), F.array().cast("array<string>"))
-    named = docs.withColumn(
-        "_props",
-        F.coalesce(
-            F.col("_given"),
-            F.transform(first, lambda c: F.coalesce(map_header(clean_text(c)["text"], headers), F.concat(F.lit("?"), c))),
-        ),
-    )
-    unknown = F.get(F.filter("_props", lambda p: p.startswith("?")), 0)
-    lacks_text = (
-        F.col("_given").isNull() & ~F.array_contains("_props", "description") & F.col("default_description").isNull()
-    )
-    checked = named.withColumn(
-        "doc_error",
-        F.when(
+    given = F.col("_given")
+
+    def named(head: Column, original: Column) -> Column:
+        """Property of each header cell, or "?" and the cell."""
+        return F.transform(
+            head, lambda c, i: F.coalesce(map_header(c["text"], headers), F.concat(F.lit("?"), F.get(original, i)))
+        )
+
+    def part(rows: Column, number: Column) -> Column:
+        first = F.coalesce(F.get(rows, 0), F.array().cast("array<string>"))
+        return F.struct(
+            (number + 1).alias("table_no"),
+            F.coalesce(given, named(clean_texts(first), first)).alias("props"),
+            F.when(number >= F.col("described_from"), F.lit(DEFAULT_DESCRIPTION)).alias("default_description"),
+            F.when(given.isNotNull(), rows).otherwise(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))).alias("body"),
+            (F.size(rows) > 0).alias("filled"),
+        )
+
+    def fault(t: Column) -> Column:
+        unknown = F.get(F.filter(t["props"], lambda p: p.startswith("?")), 0)
+        lacks_text = ~F.array_contains(t["props"], "description") & t["default_description"].isNull()
+        return F.when(given.isNull() & t["filled"], F.when(
             unknown.isNotNull(), F.concat(F.lit('unknown property for header "'), F.substring(unknown, 2, 1 << 30), F.lit('"'))
-        ).when(lacks_text & (F.size("rows") > 0), NO_DESCRIPTION_COLUMN),
-    ).withColumns(_positions(F.col("_props")))
-    body = F.when(F.col("_given").isNotNull(), F.col("rows")).otherwise(
-        F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1)))
-    )
-    # An outer explode, so that no size filter is pushed into the expressions above.
-    rows = checked.withColumns({"_body": body, "_columns": F.size("_props")})
-    names = [c for c in rows.columns if c not in ("rows", "_body", "_props", "_given")]
-    return (
-        rows.select(*names, F.posexplode_outer("_body").alias("_pos", "cells"))
-        .where(F.col("_pos").isNotNull())
-        .withColumn("record_id", F.col("_pos") + 1)
-        .drop("_pos")
+        ).when(lacks_text, NO_DESCRIPTION_COLUMN))
+
+    parts = docs.withColumn("_parts", F.transform("tables", part))
+    checked = parts.withColumn("doc_error", F.coalesce("page_error", _first(F.transform("_parts", fault))))
+    names = [c for c in checked.columns if c not in ("tables", "_given", "_parts", "page_error", "described_from")]
+    # Tables without rows below their header give none, but their document keeps a row.
+    filled = F.filter("_parts", lambda t: F.size(t["body"]) > 0)
+    tables = checked.select(*names, F.explode_outer(filled).alias("_t"))
+    props = F.col("_t")["props"]
+    placed = tables.select(
+        *names,
+        F.col("_t")["table_no"].cast("int").alias("table_no"),
+        F.col("_t")["default_description"].alias("default_description"),
+        F.size(props).alias("_columns"),
+        *[c.alias(n) for n, c in _positions(props).items()],
+        F.posexplode_outer(F.transform(F.col("_t")["body"], clean_texts)).alias("_pos", "cells"),
     )
+    return placed.withColumn("record_id", F.col("_pos") + 1).drop("_pos")
+
+
+def extract_notices(
+    pages: DataFrame,
+    issuers: DataFrame,
+    headers: Mapping[str, Sequence[str]] = HEADERS,
+    overrides: DataFrame | None = None,
+    tz: str = CIVIL_ZONE,
+    compare: str = "time",
+) -> DataFrame:
+    """:func:`extract_records`, and for each document without records one row with NULL ``record_id``.
+
+    This is what verdicts and metrics are taken from: it holds every document of ``pages``.
+    """
+    rows = extract_rows(extract_documents(pages, issuers), headers, overrides)
+    return records_of_rows(rows, tz, compare)
 
 
 def extract_records(
@@ -197,18 +255,16 @@ def extract_records(
     """Typed records of notice pages, with the first error of each.
 
     One narrow job: pages are cut in Arrow batches, everything after that is column expressions. Columns: db_id, doc_id,
-    doc_date, doc_source, record_id, offense_id, vehicle, country_hint, time, time_year, location, description, ur, error,
+    doc_date, doc_source, table_no, record_id, offense_id, vehicle, country_hint, time, time_year, location, description, ur, error,
     doc_error.
     """
-    rows = extract_rows(extract_documents(pages, issuers), headers, overrides)
-    return records_of_rows(rows, tz, compare)
+    return extract_notices(pages, issuers, headers, overrides, tz, compare).where("record_id is not null")
 
 
 def records_of_rows(rows: DataFrame, tz: str = CIVIL_ZONE, compare: str = "time") -> DataFrame:
     """Cells to typed columns."""
-    cleaned = rows.withColumns({f"_c_{p}": clean_text(F.get("cells", F.col(f"_i_{p}"))) for p in _READ})
-    texts = {p: F.coalesce(F.col(f"_c_{p}")["text"], F.lit("")) for p in _READ}
-    staged = cleaned.withColumns({f"_t_{p}": c for p, c in texts.items()})
+    texts = {f"_t_{p}": F.coalesce(F.get("cells", F.col(f"_i_{p}"))["text"], F.lit("")) for p in _READ}
+    staged = rows.withColumns(texts)
     parsed = staged.withColumns(
         {
             "_date": parse_offense_time("_t_time", tz),
@@ -236,9 +292,7 @@ def records_of_rows(rows: DataFrame, tz: str = CIVIL_ZONE, compare: str = "time"
         "cells",
         lambda c, i: problem(
             i,
-            F.when(clean_text(c)["error"].isNotNull(), clean_text(c)["error"]).when(
-                i >= F.col("_columns"), F.concat(F.lit("no property for index "), i.cast("string"))
-            ),
+            F.coalesce(c["error"], F.when(i >= F.col("_columns"), F.concat(F.lit("no property for index "), i.cast("string")))),
         ),
     )
     parse_errors = F.array(
@@ -264,6 +318,7 @@ def records_of_rows(rows: DataFrame, tz: str = CIVIL_ZONE, compare: str = "time"
         "doc_id",
         "doc_date",
         "doc_source",
+        "table_no",
         "record_id",
         null_if_empty("_t_id").alias("offense_id"),
         null_if_empty("_plate").alias("vehicle"),
@@ -275,7 +330,8 @@ def records_of_rows(rows: DataFrame, tz: str = CIVIL_ZONE, compare: str = "time"
         first["message"].alias("error"),
         "doc_error",
     )
-    return validate_records(typed, tz, compare).withColumn("time_year", civil_year("time", tz))
+    checked = validate_records(typed, tz, compare).withColumn("time_year", civil_year("time", tz))
+    return checked.withColumn("error", F.when(F.col("record_id").isNotNull(), F.col("error")))
 
 
 def civil_year(time: Column | str, tz: str = CIVIL_ZONE) -> Column:
@@ -292,7 +348,7 @@ def _civil(time: Column, tz: str) -> Column:
 def validate_records(df: DataFrame, tz: str = CIVIL_ZONE, compare: str = "time") -> DataFrame:
     """Fill ``error`` with the first broken rule of records that have none yet.
 
-    ``compare`` "time" holds a record of the publication day with a clock time to be newer than the publication;
+    A publication without a date is older than every record. ``compare`` "time" holds a record of the publication day with a clock time to be newer than the publication;
     "date" compares days.
     """
     if compare not in ("time", "date"):
@@ -301,6 +357,7 @@ def validate_records(df: DataFrame, tz: str = CIVIL_ZONE, compare: str = "time")
     published = civil_midnight("doc_date", tz)
     shown = F.date_format(_civil(F.col("time"), tz), "yyyy-MM-dd HH:mm:ss")
     newer = F.col("time") > published if compare == "time" else _civil(F.col("time"), tz).cast("date") > F.col("doc_date")
+    newer = F.col("doc_date").isNull() | newer
     broken = (
         F.when(~F.coalesce(F.col("vehicle").rlike(PLATE), F.lit(False)), INVALID_PLATE)
         .when(F.col("time").isNull(), MISSING_TIME)
@@ -315,7 +372,7 @@ def validate_records(df: DataFrame, tz: str = CIVIL_ZONE, compare: str = "time")
                 F.lit("la fecha `"),
                 shown,
                 F.lit("' es más nueva que la fecha de publicación `"),
-                F.date_format("doc_date", "yyyy-MM-dd"),
+                F.coalesce(F.date_format("doc_date", "yyyy-MM-dd"), F.lit("")),
                 F.lit("'"),
             ),
         )
@@ -331,12 +388,16 @@ def document_verdicts(
 ) -> DataFrame:
     """(db_id, doc_source, successes, errors, rejected) per document; ``rejected`` names the reason, NULL when fine.
 
-    Errors are measured against successes. ``reviewed`` lists documents (doc_source) allowed to have more.
+    ``records`` are those of :func:`extract_notices`, whose rows with NULL ``record_id`` stand for documents without records.
+    A document with a ``doc_error`` counts no records. Errors are measured against successes. ``reviewed`` lists documents
+    (doc_source) allowed to have more.
     """
+    whole = F.col("doc_error").isNull() if "doc_error" in records.columns else F.lit(True)
+    counted = F.col("record_id").isNotNull() & whole if "record_id" in records.columns else whole
     bad = F.col("error").isNotNull()
     docs = records.groupBy("db_id", "doc_source").agg(
-        F.count_if(~bad).alias("successes"),
-        F.count_if(bad).alias("errors"),
+        F.count_if(counted & ~bad).alias("successes"),
+        F.count_if(counted & bad).alias("errors"),
         F.max("doc_id").alias("_doc_id"),
         F.max("doc_error").alias("_doc_error") if "doc_error" in records.columns else F.lit(None).cast("string").alias("_doc_error"),
     )
@@ -348,7 +409,7 @@ def document_verdicts(
     too_many = (F.col("successes") > 0) & (F.col("errors") / F.col("successes") * 100 > max_pct) & ~F.col("_reviewed")
     reason = (
         F.when(F.col("_doc_error").isNotNull(), F.col("_doc_error"))
-        .when(F.coalesce("_doc_id", F.lit("")) == "", "document ID not found")
+        .when((F.coalesce("_doc_id", F.lit("")) == "") & (F.col("successes") + F.col("errors") > 0), NO_DOCUMENT_ID)
         .when(too_many, "too many errors")
     )
     if skip_any_error:
@@ -357,9 +418,10 @@ def document_verdicts(
 
 
 def quality_gate(records: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Records of the documents that were not rejected."""
+    """Records of the documents that were not rejected; rows that stand for documents without records are left out."""
     rejected = verdicts.where(F.col("rejected").isNotNull()).select("doc_source")
-    return records.join(rejected, "doc_source", "left_anti").select(*[c for c in records.columns])
+    kept = records.where("record_id is not null") if "record_id" in records.columns else records
+    return kept.join(rejected, "doc_source", "left_anti").select(*records.columns)
 
 
 def extract_metrics(verdicts: DataFrame) -> DataFrame:

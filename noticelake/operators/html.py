@@ -17,25 +17,35 @@ NEXT_CLASS = "nextPage"
 # End of fixed values.
 
 _BLOCKS = ("p", "pre", "div")
+_SECTIONS = ("thead", "tbody", "tfoot")
+_ENDS_PARAGRAPH = (*_BLOCKS, "table", "h5")
 _SKIPPED = ("script", "style")
 
 
 class _NoticeParser(HTMLParser):
-    """Title, h5 headings, text of block elements and the cells of the notice table."""
+    """Title, h5 headings, text of block elements and the cells of the notice tables.
+
+    Each section of a notice table is a table of its own, with its own header. ``body[j]`` is the text of the blocks that open
+    behind ``j`` tables.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title: list[str] = []
         self.headings: list[list[str]] = []
-        self.body: list[str] = []
-        self.rows: list[list[list[str]]] = []
+        self.body: list[list[str]] = [[]]
+        self.tables: list[list[list[list[str]]]] = []
         self._open: str | None = None
-        self._blocks = 0
+        self._blocks: list[str] = []
+        self._behind = 0  # tables before the outermost open block
         self._depth = 0  # tables open inside the notice table, itself included
+        self._section = False
         self._cell = False
         self._skip = 0
 
     def handle_starttag(self, tag, attrs):
+        if tag in _ENDS_PARAGRAPH and self._blocks and self._blocks[-1] == "p":
+            self._blocks.pop()
         if tag in _SKIPPED:
             self._skip += 1
         elif tag == "title":
@@ -44,30 +54,44 @@ class _NoticeParser(HTMLParser):
             self.headings.append([])
             self._open = "h5"
         elif tag in _BLOCKS:
-            self._blocks += 1
+            if not self._blocks:
+                self._behind = len(self.tables)
+            self._blocks.append(tag)
         elif tag == "table":
             if self._depth:
                 self._depth += 1
             elif dict(attrs).get("class") == TABLE_CLASS:
-                self._depth = 1
+                self._depth, self._section = 1, False
+        elif self._depth == 1 and tag in _SECTIONS:
+            self._start_section()
         elif self._depth == 1 and tag == "tr":
-            self.rows.append([])
+            if not self._section:
+                self._start_section()
+            self.tables[-1].append([])
             self._cell = False
         elif self._depth == 1 and tag in ("td", "th"):
-            self._cell = tag == "td" and bool(self.rows)
+            self._cell = tag == "td" and self._section and bool(self.tables[-1])
             if self._cell:
-                self.rows[-1].append([])
+                self.tables[-1][-1].append([])
+
+    def _start_section(self) -> None:
+        self.tables.append([])
+        self.body.append([])
+        self._section, self._cell = True, False
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
             self._skip = max(0, self._skip - 1)
         elif tag in ("title", "h5"):
             self._open = None
-        elif tag in _BLOCKS:
-            self._blocks = max(0, self._blocks - 1)
+        elif tag in self._blocks:
+            while self._blocks.pop() != tag:
+                pass
         elif tag == "table" and self._depth:
             self._depth -= 1
             self._cell = self._cell and self._depth > 0
+        elif self._depth == 1 and tag in _SECTIONS:
+            self._section = self._cell = False
         elif self._depth == 1 and tag in ("td", "tr"):
             self._cell = False
 
@@ -80,9 +104,9 @@ class _NoticeParser(HTMLParser):
         elif self._open == "h5":
             self.headings[-1].append(text)
         if self._cell:
-            self.rows[-1][-1].append(text)
+            self.tables[-1][-1][-1].append(text)
         elif self._blocks:
-            self.body.append(text)
+            self.body[self._behind].append(text)
 
 
 class _ListingParser(HTMLParser):
@@ -163,8 +187,8 @@ _TEXTS = T.ArrayType(T.StringType())
 _NOTICE = [
     T.StructField("title", T.StringType()),
     T.StructField("headings", _TEXTS),
-    T.StructField("body", T.StringType()),
-    T.StructField("rows", T.ArrayType(_TEXTS)),
+    T.StructField("body", _TEXTS),
+    T.StructField("tables", T.ArrayType(T.ArrayType(_TEXTS))),
 ]
 _LISTING = [
     T.StructField("title", T.StringType()),
@@ -175,19 +199,24 @@ _LISTING = [
 
 
 def _notice_rows(html: str | None) -> list[dict]:
+    if html is None:
+        return [{f.name: None for f in _NOTICE}]
     page = _parse(_NoticeParser(), html)
     return [
         {
             "title": " ".join(page.title),
             "headings": [" ".join(h) for h in page.headings],
-            "body": " ".join(page.body),
-            "rows": [[" ".join(c) for c in row] for row in page.rows],
+            "body": [" ".join(b) for b in page.body],
+            "tables": [[[" ".join(c) for c in row] for row in table] for table in page.tables],
         }
     ]
 
 
 def notice_texts(pages: DataFrame, keep: Sequence[str], column: str = "html") -> DataFrame:
-    """(…keep, title, headings, body, rows array<array<text>>) of each page."""
+    """(…keep, title, headings, body array<text>, tables array<array<array<text>>>) of each page.
+
+    A NULL page has NULL in all of them.
+    """
     return _map_pages(pages, keep, _NOTICE, column, _notice_rows)
 
 

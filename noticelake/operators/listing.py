@@ -41,9 +41,9 @@ def page_size(sort: str, per_page: int | None = None) -> int:
     return per_page or (DOCUMENT_ORDER_PAGE_SIZE if sort == "document" else PAGE_SIZE)
 
 
-def _order(sort: str) -> list[tuple[str, bool]]:
-    """(column, ascending) pairs; ``doc_source`` makes the order total."""
-    keys = [("doc_id", True), ("record_id", True), ("doc_source", True)]
+def _order(sort: str, tables: bool = False) -> list[tuple[str, bool]]:
+    """(column, ascending) pairs; ``doc_source``, and with ``tables`` the table's number, make the order total."""
+    keys = [("doc_id", True), ("record_id", True), ("doc_source", True), *([("table_no", True)] if tables else [])]
     return keys if sort == "document" else [("time", False), *keys]
 
 
@@ -82,11 +82,12 @@ def list_offenses(
     """
     sort = sort or sort_mode(preds)
     limit = page_size(sort, limit)
-    keys = _order(sort)
+    tables = "table_no" in df.columns
+    keys = _order(sort, tables)
     rows = apply_predicates(df, preds)
     if after is not None:
         rows = rows.where(_after(rows, keys, after))
-    ordered = rows.select(*PAGE_COLUMNS).orderBy(
+    ordered = rows.select(*PAGE_COLUMNS, *(["table_no"] if tables else [])).orderBy(
         *[F.col(n).asc_nulls_last() if asc else F.col(n).desc_nulls_last() for n, asc in keys]
     )
     if after is None and page > 1:

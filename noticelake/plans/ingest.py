@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from noticelake.functions.plates import with_vehicle
 from noticelake.operators.enrich import classify_multipart, enrich_location
-from noticelake.operators.extract import document_verdicts, extract_metrics, extract_records, quality_gate
+from noticelake.operators.extract import document_verdicts, extract_metrics, extract_notices, quality_gate
 from noticelake.schema import CELL_COLUMNS, OFFENSES
 from noticelake.sources.documents import pending_documents
 from noticelake.storage import checkpoint
@@ -50,7 +50,7 @@ def ingest(
     Extraction is stored once: the gate, the counts and the records all read it, and pages are parsed a single time.
     """
     pending = documents if stored is None else pending_documents(documents, stored, full)
-    extracted = checkpoint(extract_records(pending, issuers, overrides=overrides))
+    extracted = checkpoint(extract_notices(pending, issuers, overrides=overrides))
     verdicts = document_verdicts(extracted, reviewed=reviewed, skip_any_error=skip_any_error)
     passed = quality_gate(extracted, verdicts).drop("doc_error")
     return Ingested(enrich_records(passed, locations, descriptions), verdicts, extract_metrics(verdicts))

@@ -17,6 +17,7 @@ OFFENSES = T.StructType(
         T.StructField("doc_id", T.StringType()),
         T.StructField("doc_date", T.DateType()),
         T.StructField("doc_source", T.StringType(), False),
+        T.StructField("table_no", T.IntegerType()),
         T.StructField("record_id", T.IntegerType(), False),
         T.StructField("offense_id", T.StringType()),
         T.StructField("vehicle", T.StringType()),

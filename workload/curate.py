@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import geo, plates, text
 from noticelake.operators import clustering, enrich, geocoding, queues, similarity
-from noticelake.storage import spread
 from workload import tables as t
 from workload.registry import query
 
@@ -274,7 +273,7 @@ def _cosine_sql(a: str, b: str, threshold: float) -> str:
 )
 def cosine_texts(spark, sf) -> DataFrame:
     out = similarity.cosine_matches(
-        spread(t.table(spark, sf, "documents"), "doc_id"),
+        t.dealt(t.table(spark, sf, "documents"), "doc_id"),
         t.table(spark, sf, "benchmark"),
         0.5,
         key="doc_id",

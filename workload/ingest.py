@@ -15,7 +15,7 @@ from noticelake.plans.ingest import ingest
 from noticelake.sources import curation
 from noticelake.sources import documents as docs
 from noticelake.sources import offenses as src
-from noticelake.storage import shared_dir, spread
+from noticelake.storage import shared_dir
 from workload import tables as t
 from workload.registry import query
 
@@ -24,8 +24,26 @@ from workload.registry import query
 DAY = "date_add(cast(o_orderdate as date), 7305)"
 
 
+# What is special about some notices; all others are plain.
+KINDS = {
+    "two tables": "o_orderkey % 41 = 5",
+    "undated": "o_orderkey % 43 = 7",
+    "bad date": "o_orderkey % 47 = 9",
+    "no rows": "o_orderkey % 53 = 11",
+    "login": "o_orderkey % 59 = 13",
+    "bad header": "o_orderkey % 61 = 17",
+    "bad header, no rows": "o_orderkey % 67 = 19",
+    "null": "o_orderkey % 71 = 23",
+    "phrase before": "o_orderkey % 73 = 29",
+    "phrase behind": "o_orderkey % 79 = 31",
+    "no number": "o_orderkey % 83 = 37",
+    "bad spelling": "o_orderkey % 89 = 41",
+}
+KIND = "case " + " ".join(f"when {test} then '{kind}'" for kind, test in KINDS.items()) + " else '' end"
+
+
 def notice_pages(spark, sf) -> DataFrame:
-    """One notice per order, written from its columns: a table of one to three records, some faulty."""
+    """One notice per order, written from its columns: a table of one to three records, some faulty; and pages of all ``KINDS``."""
     row = """concat('<tr><td> ', {plate}, '</td><td>', {time}, '</td><td>', {place}, '</td><td>: ', {text}, '</td><td>', {ur}, '</td></tr>')"""
     day = f"date_format({DAY}, 'dd/MM/yyyy')"
     rows = [
@@ -33,7 +51,7 @@ def notice_pages(spark, sf) -> DataFrame:
             plate="concat('sa-b ', lpad(cast(o_custkey % 10000 as string), 4, '0'))",
             time=f"concat({day}, ' 00:00')",
             place="concat('Ruta ', o_custkey % 9, ' &amp; costa')",
-            text="o_orderpriority",
+            text="case when kind = 'bad spelling' then 'informaciÃ³n' else o_orderpriority end",
             ur="concat(cast(o_custkey % 7 as string), ',5UR')",
         ),
         row.format(
@@ -51,12 +69,27 @@ def notice_pages(spark, sf) -> DataFrame:
             ur="''",
         ),
     ]
-    header = "<tr><td>Matr&iacute;cula</td><td>Fecha y Hora</td><td>Lugar</td><td>Detalle</td><td>Valor en UR</td></tr>"
-    body = f"""concat('<html><head><title>Notificaci&oacute;n ', upper('oficina'), ' N&deg; ', o_orderkey, '/', year({DAY}),
-      '</title></head><body><h5>Fecha de Publicaci&oacute;n: ', {day}, '</h5><table class="tabla_en_texto"><tbody>{header}',
-      {rows[0]}, case when o_orderkey % 3 > 0 then {rows[1]} else '' end, case when o_orderkey % 3 > 1 then {rows[2]} else '' end,
-      '</tbody></table></body></html>')"""
-    return spread(t.table(spark, sf, "orders"), "o_orderkey").select(
+    header = """concat('<tr><td>Matr&iacute;cula</td><td>Fecha y Hora</td><td>', if(kind like 'bad header%', 'Color', 'Lugar'),
+      '</td><td>Detalle</td><td>Valor en UR</td></tr>')"""
+    title = f"""case when kind = 'login' then 'Ingreso - IMPO' else concat('Notificaci&oacute;n ', upper('oficina'), ' N&deg; ',
+      if(kind = 'no number', '', concat(o_orderkey, '/', year({DAY})))) end"""
+    date = f"""case when kind = 'undated' then '' else concat('<h5>Fecha de Publicaci&oacute;n: ',
+      if(kind = 'bad date', '31/02/2020', {day}), '</h5>') end"""
+    table = "concat('<table class=\"tabla_en_texto\"><tbody>', {}, '</tbody></table>')"
+    plain = table.format(
+        f"{header}, case when kind in ('no rows', 'bad header, no rows') then '' else concat({rows[0]}, "
+        f"case when o_orderkey % 3 > 0 then {rows[1]} else '' end, case when o_orderkey % 3 > 1 then {rows[2]} else '' end) end"
+    )
+    second = table.format(
+        f"""'<tr><td>Art&iacute;culo</td><td>Fecha</td><td>MAT.</td></tr><tr><td>Segunda</td><td>', {day}, '</td><td>SCD1234</td></tr>'"""
+    )
+    bare = table.format(f"""'<tr><td>Mat.</td><td>Fecha</td></tr><tr><td>SEF1234</td><td>', {day}, '</td></tr>'""")
+    phrase = f"'<p>Visto {extract.DEFAULT_PHRASES[0]}.</p>'"
+    body = f"""case when kind = 'null' then null else concat('<html><head><title>', {title}, '</title></head><body>', {date},
+      case kind when 'phrase before' then concat({phrase}, {bare}) when 'phrase behind' then concat({bare}, {phrase})
+        when 'two tables' then concat({plain}, {second}) else {plain} end, '</body></html>') end"""
+    orders = t.dealt(t.table(spark, sf, "orders"), "o_orderkey").withColumn("kind", F.expr(KIND))
+    return orders.select(
         F.expr("cast(o_custkey % 25 as int)").alias("db_id"),
         F.concat(F.lit("notice/"), F.col("o_orderkey").cast("string")).alias("doc_source"),
         F.expr(body).alias("html"),
@@ -69,46 +102,62 @@ def issuers(spark, sf) -> DataFrame:
     )
 
 
-NOTICES_SQL = """
+NOTICES_SQL = f"""
+orders_kinds AS (SELECT *, {KIND} AS kind FROM orders),
 facts AS (
-  SELECT (o_custkey % 25)::INT AS db_id, 'notice/' || o_orderkey AS doc_source, o_orderkey || '/' || year(o_orderdate::DATE + 7305) AS doc_id,
-    o_orderdate::DATE + 7305 AS day, o_custkey, o_orderkey, o_orderpriority, o_orderstatus, 1 AS y FROM orders
+  SELECT (o_custkey % 25)::INT AS db_id, 'notice/' || o_orderkey AS doc_source, kind,
+    CASE WHEN kind NOT IN ('login', 'null', 'no number') THEN o_orderkey || '/' || year(o_orderdate::DATE + 7305) END AS doc_id,
+    o_orderdate::DATE + 7305 AS day, CASE WHEN kind NOT IN ('undated', 'bad date', 'null') THEN o_orderdate::DATE + 7305 END AS published,
+    CASE kind WHEN 'null' THEN 'unreadable page' WHEN 'login' THEN 'login page' WHEN 'bad date' THEN 'invalid publication date "31/02/2020"'
+      WHEN 'phrase behind' THEN 'tabla sin columna descripción' WHEN 'bad header' THEN 'unknown property for header "Color"'
+      WHEN 'bad header, no rows' THEN 'unknown property for header "Color"' END AS doc_error,
+    o_custkey, o_orderkey, o_orderpriority, o_orderstatus FROM orders_kinds
 ),
+plain AS (SELECT * FROM facts WHERE kind NOT IN ('null', 'login', 'no rows', 'bad header, no rows', 'phrase before', 'phrase behind')),
 lines AS (
-  SELECT *, 1 AS record_id, 'SAB' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') AS vehicle, day::TIMESTAMP AS time,
-    'Ruta ' || (o_custkey % 9) || ' & costa' AS location, o_orderpriority AS description, ((o_custkey % 7) * 100 + 50)::INT AS ur FROM facts
+  SELECT *, 1 AS table_no, 1 AS record_id, 'SAB' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') AS vehicle, day::TIMESTAMP AS time,
+    CASE WHEN kind <> 'bad header' THEN 'Ruta ' || (o_custkey % 9) || ' & costa' END AS location,
+    CASE WHEN kind = 'bad spelling' THEN 'información' ELSE o_orderpriority END AS description, ((o_custkey % 7) * 100 + 50)::INT AS ur FROM plain
+  UNION ALL
+  SELECT *, 1, 2, CASE WHEN o_orderkey % 97 = 0 THEN '#' ELSE 'ABC' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') END,
+    (day - 3)::TIMESTAMP + to_minutes(1050), CASE WHEN kind <> 'bad header' THEN '18 de Julio' END, o_orderstatus, 300 FROM plain WHERE o_orderkey % 3 > 0
+  UNION ALL
+  SELECT *, 1, 3, 'AA' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || 'BB', (day + (o_orderkey % 2)::INT)::TIMESTAMP, NULL, 'Exceso', 0
+  FROM plain WHERE o_orderkey % 3 > 1
   UNION ALL
-  SELECT *, 2, CASE WHEN o_orderkey % 97 = 0 THEN '#' ELSE 'ABC' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') END,
-    (day - 3)::TIMESTAMP + INTERVAL '17:30' HOUR TO MINUTE, '18 de Julio', o_orderstatus, 300 FROM facts WHERE o_orderkey % 3 > 0
+  SELECT *, 2, 1, 'SCD1234', day::TIMESTAMP, NULL, 'Segunda', 0 FROM facts WHERE kind = 'two tables'
   UNION ALL
-  SELECT *, 3, 'AA' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || 'BB', (day + (o_orderkey % 2)::INT)::TIMESTAMP, NULL, 'Exceso', 0
-  FROM facts WHERE o_orderkey % 3 > 1
+  SELECT *, 1, 1, 'SEF1234', day::TIMESTAMP, NULL, CASE WHEN kind = 'phrase before' THEN 'Cobros por acciones, trámites o gestiones' END, 0
+  FROM facts WHERE kind IN ('phrase before', 'phrase behind')
 ),
 records AS (
   SELECT *, CASE WHEN vehicle = '#' THEN 'matrícula inválida'
     WHEN time < TIMESTAMP '2015-01-01' THEN 'la fecha `' || strftime(time, '%Y-%m-%d %H:%M:%S') || ''' es anterior a 2015-01-01'
-    WHEN time > day THEN 'la fecha `' || strftime(time, '%Y-%m-%d %H:%M:%S') || ''' es más nueva que la fecha de publicación `' || strftime(day, '%Y-%m-%d') || ''''
+    WHEN description IS NULL THEN 'falta descripción'
+    WHEN published IS NULL OR time > published THEN 'la fecha `' || strftime(time, '%Y-%m-%d %H:%M:%S')
+      || ''' es más nueva que la fecha de publicación `' || coalesce(strftime(published, '%Y-%m-%d'), '') || ''''
     END AS error FROM lines
-)""".replace("INTERVAL '17:30' HOUR TO MINUTE", "to_minutes(1050)")
+)"""
 
 
 def _extracted(spark, sf) -> DataFrame:
-    return extract.extract_records(notice_pages(spark, sf), issuers(spark, sf), tz="UTC")
+    return extract.extract_notices(notice_pages(spark, sf), issuers(spark, sf), tz="UTC")
 
 
 @query(
     "extract_records",
     "WITH "
     + NOTICES_SQL
-    + """ SELECT db_id, doc_source, doc_id, strftime(day, '%Y-%m-%d') AS doc_date, record_id, vehicle, epoch(time)::BIGINT AS time,
-      year(time) AS time_year, location, description, ur, error FROM records""",
+    + """ SELECT db_id, doc_source, doc_id, strftime(published, '%Y-%m-%d') AS doc_date, table_no, record_id, vehicle,
+      epoch(time)::BIGINT AS time, year(time) AS time_year, location, description, ur, error, doc_error FROM records""",
 )
 def extract_records(spark, sf) -> DataFrame:
-    return _extracted(spark, sf).select(
+    return extract.extract_records(notice_pages(spark, sf), issuers(spark, sf), tz="UTC").select(
         "db_id",
         "doc_source",
         "doc_id",
         F.date_format("doc_date", "yyyy-MM-dd").alias("doc_date"),
+        "table_no",
         "record_id",
         "vehicle",
         F.unix_seconds("time").alias("time"),
@@ -117,11 +166,17 @@ def extract_records(spark, sf) -> DataFrame:
         "description",
         "ur",
         "error",
+        "doc_error",
     )
 
 
-_VERDICTS = """, v AS (SELECT db_id, doc_source, count(*) FILTER (error IS NULL) AS successes, count(error) AS errors FROM records GROUP BY ALL),
-  j AS (SELECT *, CASE WHEN successes > 0 AND errors / successes * 100 > 5 THEN 'too many errors' END AS rejected FROM v)"""
+_VERDICTS = """, counts AS (SELECT doc_source, count(*) FILTER (error IS NULL) AS successes, count(error) AS errors FROM records
+    WHERE doc_error IS NULL GROUP BY doc_source),
+  v AS (SELECT db_id, f.doc_source, coalesce(successes, 0) AS successes, coalesce(errors, 0) AS errors, doc_id, doc_error
+    FROM facts f LEFT JOIN counts c ON c.doc_source = f.doc_source),
+  j AS (SELECT db_id, doc_source, successes, errors, CASE WHEN doc_error IS NOT NULL THEN doc_error
+    WHEN doc_id IS NULL AND successes + errors > 0 THEN 'document ID not found'
+    WHEN successes > 0 AND errors / successes * 100 > 5 THEN 'too many errors' END AS rejected FROM v)"""
 
 
 @query("document_verdicts", "WITH " + NOTICES_SQL + _VERDICTS + " SELECT * FROM j")
@@ -143,11 +198,12 @@ def extract_metrics(spark, sf) -> DataFrame:
 
 @query(
     "page_titles",
-    """SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> '' AS titled, 0 AS records FROM pages""",
+    """SELECT page_id, replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, 0 AS tables FROM pages""",
 )
 def page_titles(spark, sf) -> DataFrame:
     texts = html.notice_texts(t.table(spark, sf, "pages"), ["page_id"])
-    return texts.select("page_id", (F.col("title") != "").alias("titled"), F.size("rows").alias("records"))
+    return texts.select("page_id", F.regexp_replace("title", r"\s+", " ").alias("title"), F.size("tables").alias("tables"))
 
 
 @query(

@@ -12,13 +12,14 @@ from noticelake.functions import geo, plates
 from noticelake.functions.cells import BASE_COLUMNS, GRID_MODE, _grid_size, _splits, with_cells
 from noticelake.schema import CELL_COLUMNS, OFFENSES
 from noticelake.sources.offenses import read_offenses, write_offenses
-from noticelake.storage import shared_dir, spread
+from noticelake.storage import shared_dir
 
 # The derived record ids exceed 32 bits, and the given times carry no zone.
 STORED_SCHEMA = T.StructType(
     [
         T.StructField(f.name, {"record_id": T.LongType(), "time": T.TimestampNTZType()}.get(f.name, f.dataType))
         for f in OFFENSES.fields
+        if f.name != "table_no"  # the derived documents have one table each
     ]
 )
 
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over the session's shuffle partitions, before work that is heavy per row; the count keeps them apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _int(e: str) -> Column:
     return F.expr(f"cast({e} as int)")
 
@@ -51,7 +57,7 @@ end
 
 def raw_offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as they leave extraction: no country, no articles, no canonical locations."""
-    lineitem, orders = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"), table(spark, sf_dir, "orders")
+    lineitem, orders = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"), table(spark, sf_dir, "orders")
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     rows = (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
