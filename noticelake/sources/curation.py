@@ -11,6 +11,8 @@ from noticelake.functions.geo import point
 from noticelake.functions.text import normalize_marker
 from noticelake.schema import ARTICLES, CELL_COLUMNS, DESCRIPTIONS, JUDGMENT
 
+_TABLES = ("articles", "descriptions", "locations")
+
 BUNDLE = T.StructType(
     [
         T.StructField("articles", T.ArrayType(ARTICLES)),
@@ -60,9 +62,29 @@ def _judged(rows: DataFrame) -> DataFrame:
     return with_cells(placed.drop("latitude", "longitude"))
 
 
+def _has_parts(spark: SparkSession, path: str) -> bool:
+    """Whether the path is a folder written by :func:`write_curation`, told by what its files are called."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    inside = F.regexp_extract("path", f"/({'|'.join(_TABLES)})/[^/]+$", 1)
+    return names.where(inside != "").select(inside.alias("part")).distinct().count() == len(_TABLES)
+
+
+def _checked(rows: DataFrame, fields: tuple[str, ...], path: str) -> DataFrame:
+    """The rows, after a look at whether any holds one of the fields; a file of something else must not read as empty."""
+    held = F.coalesce(*[F.col(f).cast("string") for f in fields])
+    if rows.where(held.isNotNull()).isEmpty() and not rows.isEmpty():
+        raise ValueError(f"{path} holds none of {', '.join(fields)}")
+    return rows
+
+
 def read_curation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(articles, descriptions, locations) of a bundle file or of a folder written by :func:`write_curation`."""
-    bundle = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+    """(articles, descriptions, locations) of a bundle file or of a folder written by :func:`write_curation`.
+
+    A file that holds none of the three is an error.
+    """
+    if _has_parts(spark, path):
+        return read_curation_lines(spark, path)
+    bundle = _checked(spark.read.schema(BUNDLE).option("multiLine", True).json(path), _TABLES, path)
     articles = bundle.select(F.inline("articles"))
     descriptions = bundle.select(F.inline("descriptions"))
     return articles, descriptions, _judged(bundle.select(F.inline("locations")))
@@ -112,9 +134,18 @@ def sync_dimension(stored: dict[str, DataFrame], incoming: dict[str, DataFrame])
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """Judgments of versioned files, with ``version`` and ``last_updated``."""
-    files = spark.read.schema(JUDGMENTS).option("multiLine", True).json(path)
-    return _judged(files.select("version", "last_updated", F.inline("judgments")))
+    """Judgments with ``version`` and ``last_updated``: of versioned files, or of lines from :func:`write_judgments`.
+
+    Files that hold neither are an error.
+    """
+    head = ["version", "last_updated"]
+    either = T.StructType([*JUDGMENTS.fields, *[f for f in JUDGMENT.fields if f.name not in JUDGMENTS.names]])
+    lines = spark.read.schema(either).json(path)
+    # A line of its own is a judgment when it names a place; a versioned file is read as one document.
+    if lines.where("location is not null").isEmpty():
+        files = _checked(spark.read.schema(JUDGMENTS).option("multiLine", True).json(path), ("judgments",), path)
+        return _judged(files.select(*head, F.inline("judgments")))
+    return _judged(lines.drop("judgments"))
 
 
 def write_judgments(locations: DataFrame, path: str, version: str = "1.0") -> None:
@@ -127,10 +158,9 @@ def write_judgments(locations: DataFrame, path: str, version: str = "1.0") -> No
 
 def seed_judgments(locations: DataFrame, seed: DataFrame) -> DataFrame:
     """The seed's judgments if there are none yet, else the stored ones."""
-    empty = locations.agg((F.count(F.lit(1)) == 0).alias("_empty"))
     rows = seed.select(*locations.columns)
-    chosen = rows.withColumn("_k", F.lit(1)).join(empty.withColumn("_k", F.lit(1)), "_k").where("_empty")
-    return locations.unionByName(chosen.select(*locations.columns))
+    none_yet = locations.agg((F.count(F.lit(1)) == 0).alias("none_yet")).scalar()
+    return locations.unionByName(rows.where(none_yet))
 
 
 def read_radars(spark: SparkSession, path: str) -> DataFrame:

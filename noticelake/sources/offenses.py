@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,12 +99,17 @@ def replace_documents(target: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def replace_in_partitions(
-    spark: SparkSession, path: str, incoming: DataFrame, partitions: Sequence[str] = PARTITIONS
+    spark: SparkSession,
+    path: str,
+    incoming: DataFrame,
+    partitions: Sequence[str] = PARTITIONS,
+    fixed: Sequence[str] = (),
 ) -> list[tuple]:
     """Replace documents in a stored table, rewriting only the partitions they touch; returns those partitions.
 
     Touched are the partitions of the incoming rows and those that hold old rows of the same documents. Their new
-    content is checkpointed before the overwrite, because the files being read are the ones replaced.
+    content is checkpointed before the overwrite, because the files being read are the ones replaced. ``fixed`` names
+    partition columns a document never changes, such as its database: old rows are then sought in those partitions only.
     """
     from noticelake.storage import checkpoint
 
@@ -113,20 +118,17 @@ def replace_in_partitions(
     stored = spark.read.parquet(path)
     arriving = incoming.select("doc_source").distinct()
     keys = [F.col(p) for p in partitions]
+    searched = stored
+    if fixed:
+        searched = stored.where(_any_of(fixed, [tuple(r) for r in incoming.select(*fixed).distinct().collect()]))
     touched = (
-        stored.join(arriving, "doc_source", "left_semi").select(*keys).unionByName(incoming.select(*keys)).distinct()
+        searched.join(arriving, "doc_source", "left_semi").select(*keys).unionByName(incoming.select(*keys)).distinct()
     )
     # One row per partition of the table: bounded by its layout, not by its rows.
     found = [tuple(r) for r in touched.collect()]
     if not found:
         return []
-    in_touched = F.lit(False)
-    for values in found:
-        same = F.lit(True)
-        for name, value in zip(partitions, values):
-            same = same & F.col(name).eqNullSafe(F.lit(value))
-        in_touched = in_touched | same
-    rebuilt = checkpoint(replace_documents(stored.where(in_touched), incoming))
+    rebuilt = checkpoint(replace_documents(stored.where(_any_of(partitions, found)), incoming))
     left = {tuple(r) for r in rebuilt.select(*keys).distinct().collect()}
     (
         rebuilt.select(*stored.columns)
@@ -143,6 +145,17 @@ def replace_in_partitions(
     return found
 
 
+def _any_of(columns: Sequence[str], rows: list[tuple]) -> Column:
+    """Whether the columns hold one of the rows, NULLs being equal; the scan prunes partitions by it."""
+    found = F.lit(False)
+    for values in rows:
+        same = F.lit(True)
+        for name, value in zip(columns, values, strict=True):
+            same = same & (F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+        found = found | same
+    return found
+
+
 def _drop_partitions(spark: SparkSession, path: str, partitions: Sequence[str], emptied: list[tuple]) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
     for values in emptied:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from noticelake.plans.ingest import ingest
+from noticelake.schema import OFFENSES
 from noticelake.sources.offenses import replace_in_partitions, write_offenses
 
 PAGES = T.StructType(
@@ -40,7 +42,7 @@ def ingest_stream(
         issuers, locations, descriptions = dimensions()
         records = ingest(batch, issuers, locations, descriptions).records
         if _exists(spark, target_path):
-            replace_in_partitions(spark, target_path, records)
+            replace_in_partitions(spark, target_path, records, fixed=["db_id"])
         else:
             write_offenses(records, target_path)
 
@@ -54,5 +56,11 @@ def ingest_stream(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    """Whether a table is there yet; Spark refuses to read a path that is not."""
+    try:
+        spark.read.schema(OFFENSES).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True

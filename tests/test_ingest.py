@@ -235,6 +235,8 @@ def test_ingest_and_replace(spark, issuers, tmp_path):
     got = {r["doc_source"]: r["vehicle"] for r in offenses.read_offenses(spark, path).collect()}
     assert got == {"doc0": "ABC1234", "doc1": "XYZ9999", "doc2": "XYZ9999", "doc3": "ABC1234"}
     # A document that moves to another year leaves its old partition, which empties.
+    touched = offenses.replace_in_partitions(spark, path, again.records.where("doc_source = 'doc1'"), fixed=["db_id"])
+    assert {db for db, _ in touched} == {45} and offenses.read_offenses(spark, path).count() == 4
     moved = again.records.where("doc_source = 'doc1'").withColumn("time_year", F.lit(2020))
     lone = again.records.where("doc_source = 'doc2'").withColumn("time_year", F.lit(2020))
     offenses.replace_in_partitions(spark, path, moved.unionByName(lone))
@@ -282,6 +284,11 @@ def test_curation_files(spark, tmp_path):
     again = curation.read_curation_lines(spark, str(tmp_path / "out"))
     assert [r["description"] for r in again[1].orderBy("description").collect()] == ["a", "b"]
     assert again[2].first()["h3_res8"] == locations.first()["h3_res8"]
+    folder = curation.read_curation(spark, str(tmp_path / "out"))
+    assert [df.count() for df in folder] == [1, 2, 1] and folder[2].first()["point"]["lng"] == -56.1
+    (tmp_path / "other.json").write_text('{"something": "else"}')
+    with pytest.raises(ValueError, match="none of"):
+        curation.read_curation(spark, str(tmp_path / "other.json"))
     have = {"articles": articles, "descriptions": descriptions, "locations": locations}
     fewer = {**have, "descriptions": descriptions.limit(1)}
     assert curation.sync_dimension(have, have).first()["action"] == "keep"
@@ -294,6 +301,14 @@ def test_judgment_files(spark, tmp_path):
     (tmp_path / "j.json").write_text(json.dumps(file))
     rows = curation.read_judgments(spark, str(tmp_path / "j.json"))
     assert (rows.first()["version"], rows.first()["point"]["lat"]) == ("1.0", -34.0)
+    curation.write_judgments(rows.drop("version", "last_updated"), str(tmp_path / "lines"), "2.0")
+    again = curation.read_judgments(spark, str(tmp_path / "lines")).collect()
+    assert [(r["id"], r["version"], r["location"], r["point"]["lat"]) for r in again] == [(1, "2.0", "L", -34.0)]
+    (tmp_path / "empty.json").write_text('{"version": "1.0", "judgments": []}')
+    assert curation.read_judgments(spark, str(tmp_path / "empty.json")).isEmpty()
+    with pytest.raises(ValueError, match="none of"):
+        (tmp_path / "other.json").write_text('{"something": "else"}')
+        curation.read_judgments(spark, str(tmp_path / "other.json"))
     none = spark.createDataFrame([], LOCATIONS)
     assert curation.seed_judgments(none, rows).count() == 1
     assert curation.seed_judgments(curation.seed_judgments(none, rows), rows).count() == 1
