@@ -156,21 +156,27 @@ def _cutter(length: int, gram: int):
 
 
 def _related(table: pa.Table, length: int, gram: int) -> np.ndarray:
-    """Segments that agree with another of their minimizer on enough bytes before or behind it.
+    """Segments that agree with another of their minimizer on enough bytes before or behind it, and those that hold it twice.
 
-    A string holds the minimizer and ``length - gram`` other bytes, at least half of them on one side.
+    A string holds the minimizer and ``length - gram`` other bytes, at least half of them on one side. A segment that holds
+    the minimizer more than once is looked at around each of its places.
     """
     side = (length - gram + 1) // 2
-    keys: list[tuple] = []
-    rows = zip(*(table.column(c).to_pylist() for c in ("m", "place", "content", "inner")), strict=True)
-    for i, (m, place, content, inner) in enumerate(rows):
-        left, right = content[max(0, place - side) : place], content[place + gram : place + gram + side]
-        keys.append((m, 0, left) if len(left) == side else i)
-        keys.append((m, 1, right) if len(right) == side else i)
-        if inner:
-            keys[-2:] = [(m, 2, i)] * 2
-    times = Counter(k for k in keys if not isinstance(k, int))
-    return np.array([max(times[a], times[b]) > 1 for a, b in zip(keys[::2], keys[1::2], strict=True)], bool)
+    keys: list[set[tuple]] = []
+    inner = table.column("inner").to_pylist()
+    rows = zip(*(table.column(c).to_pylist() for c in ("m", "place", "content")), inner, strict=True)
+    for m, place, content, again in rows:
+        own, minimizer = set(), content[place : place + gram]
+        while place >= 0:
+            left, right = content[max(0, place - side) : place], content[place + gram : place + gram + side]
+            if len(left) == side:
+                own.add((m, 0, left))
+            if len(right) == side:
+                own.add((m, 1, right))
+            place = content.find(minimizer, place + 1) if again else -1
+        keys.append(own)
+    times = Counter(k for own in keys for k in own)
+    return np.array([again or any(times[k] > 1 for k in own) for again, own in zip(inner, keys, strict=True)], bool)
 
 
 def _arrays(length: int, gram: int):

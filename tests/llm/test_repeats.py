@@ -100,3 +100,23 @@ def test_shards_hold_exact_windows():
     found = phrase_dedup.shard_matches([a, b], [9, 4], 10)
     assert found[1] == [(3, 7, 4)]
     assert found[0] == [(5, 9, 4)]
+
+
+def test_segments_with_an_inner_repeat_meet_the_others(spark):
+    # A holds its minimizer V twice, B once; both hold V + tail.
+    rng = random.Random(11)
+
+    def letters(k):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+
+    rows = []
+    for i in range(20):
+        v = min((letters(48) for _ in range(4_000)), key=lambda t: window_hashes(np.frombuffer(t.encode(), np.uint8), 48)[0])
+        tail = letters(rng.randint(352, 420))
+        rows.append((2 * i, letters(50) + v + letters(rng.randint(1, 250)) + v + tail))
+        rows.append((2 * i + 1, letters(60) + v + tail))
+    want = brute_bytes(rows, 400)
+    assert all(r[2] >= 400 for r in want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(docs, 400, 48, 1_000).collect()
+    assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found) == want
