@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 
 from noticelake.llm.common import U64, WordHashes, mix, row_key, texts
 
-#: Positions a seed looks at are 1. A substituted token spoils a seed only where it looks.
-MASKS = ("11011011", "1110010101", "1010011011")
+#: Positions a seed looks at are 1. A substituted token spoils a seed only where it looks. One of these two fits into every
+#: run that counts by the numbers below: without four agreeing tokens in a row, k mismatches leave at most 3 (k + 1)
+#: agreeing ones; of at least 4 k, and 10 or a short item's share, that leaves room for single mismatches only, between
+#: stretches of which two neighbours have two tokens or more.
+MASKS = ("1111", "11011")
 #: Tokens of a run that must agree, and the share of agreeing tokens in it; a mismatch costs what that share allows.
 MIN_TOKENS = 10
 MIN_SHARE = 0.8
-#: Items with fewer tokens say too little and match nothing.
+#: Items with fewer tokens match only where all of them stand in a row.
 LEAST_ITEM = 8
 #: Positions of the filter documents are tested with before the join: 2**FILTER_BITS bits, whatever the number of items.
 FILTER_BITS = 24
@@ -56,13 +59,15 @@ def item_seeds(items: DataFrame, masks: Sequence[str] = MASKS) -> tuple[DataFram
             )
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    encoded = rows.mapInArrow(compute, "item_id long, item_tokens array<long>").where(F.size("item_tokens") >= LEAST_ITEM)
+    encoded = rows.mapInArrow(compute, "item_id long, item_tokens array<long>").where(F.size("item_tokens") > 0)
     encoded = encoded.distinct()
+    shortest = min(map(len, masks))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, ids in zip(batch.column("item_id").to_pylist(), batch.column("item_tokens").to_pylist(), strict=True):
-                found = [seed_hashes(np.array(ids, np.int64).view(U64), m) for m in masks]
+                fitting = masks if len(ids) >= shortest else ["1" * len(ids)]
+                found = [seed_hashes(np.array(ids, np.int64).view(U64), m) for m in fitting]
                 at = np.concatenate([np.arange(len(f)) for f in found])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -91,8 +96,13 @@ def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def document_hits(docs: DataFrame, passed: np.ndarray, masks: Sequence[str] = MASKS, bits: int = FILTER_BITS) -> DataFrame:
-    """``key, seed, doc_at``: the seeds of every text, at all positions, that pass the filter."""
+def document_hits(
+    docs: DataFrame, passed: np.ndarray, masks: Sequence[str] = MASKS, bits: int = FILTER_BITS, wholes: Sequence[int] = ()
+) -> DataFrame:
+    """``key, seed, doc_at``: the seeds of every text, at all positions, that pass the filter.
+
+    ``wholes`` are the lengths of items too short for a mask; each text has the first place of every seed of those.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -100,10 +110,12 @@ def document_hits(docs: DataFrame, passed: np.ndarray, masks: Sequence[str] = MA
             keys, seeds, places = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
                 ids = hashes.of(tokens(text))
-                for mask in masks:
+                for mask in [*masks, *("1" * k for k in wholes)]:
                     found = seed_hashes(ids, mask)
                     index = (found >> U64(64 - bits)).astype(np.int64)
                     at = np.flatnonzero(passed[index >> 3] >> (index & 7).astype(np.uint8) & 1)
+                    if len(mask) in wholes:
+                        at = at[np.unique(found[at], return_index=True)[1]]
                     if len(at):
                         keys += [key] * len(at)
                         seeds.append(found[at].view(np.int64))
@@ -118,29 +130,38 @@ def document_hits(docs: DataFrame, passed: np.ndarray, masks: Sequence[str] = MA
 
 
 def best_run(same: np.ndarray, share: float = MIN_SHARE) -> tuple[int, int, int]:
-    """Agreeing tokens, start and end of the run in which agreement outweighs mismatches most."""
-    gain = np.where(same, 1.0 - share, -share)
-    sums = np.concatenate(([0.0], np.cumsum(gain)))
-    lowest = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lowest))
-    start = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1]) if end else 0
-    return int(same[start:end].sum()), start, end
+    """Agreeing tokens, start and end of the run with most of those that has ``share`` of its tokens agreeing; of equals the shortest."""
+    part = round(share * 1000)
+    sums = np.concatenate(([0], np.cumsum(np.where(same, 1000 - part, -part))))
+    agreeing = np.concatenate(([0], np.cumsum(same)))
+    # The earliest start of a run up to each end: where the sum is not above that at the end.
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    found = agreeing - agreeing[starts]
+    most = int(found.max())
+    if not most:
+        return 0, 0, 0
+    ends = np.flatnonzero(found == most)
+    starts = np.flatnonzero(same)[agreeing[starts[ends]]]
+    i = int(np.argmin(ends - starts))
+    return most, int(starts[i]), int(ends[i])
 
 
 def contaminated_pairs(
     docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_tokens: int = MIN_TOKENS, share: float = MIN_SHARE
 ) -> DataFrame:
-    """``doc_id, item_id, doc_start, n_tokens, n_same`` for each document and item that overlap, on the longest overlap.
+    """``doc_id, item_id, doc_start, n_tokens, n_same`` for each document and item that overlap, on the overlap of most equal tokens.
 
     An overlap is a run of aligned tokens, ``share`` of them equal, with ``min_tokens`` equal ones or, for a shorter item,
-    that share of the item. The whole of every text and item is seeded; seeds meet in a shuffled join, so a seed held by
-    many documents only splits its partition, and each meeting alignment is verified once. NULL ids of items, NULL texts
-    and items of fewer than ``LEAST_ITEM`` tokens match nothing. Equal rows give equal rows.
+    that share of the item; all tokens of an item of fewer than ``LEAST_ITEM``. The whole of every text and item is seeded; seeds meet in a shuffled join, so a seed held by
+    many documents only splits its partition, and each meeting alignment is verified once. ``MASKS`` miss no overlap of
+    ``MIN_TOKENS`` and ``MIN_SHARE``; lower numbers need other masks. NULL ids of items, NULL texts and items without
+    tokens match nothing. Equal rows give equal rows.
     """
     seeds, encoded = item_seeds(benchmark.select("item_id", "text"), masks)
     passed = seed_filter(seeds)
     keyed = docs.select(F.col("doc_id").alias("doc_id"), row_key().alias("key"), F.col("text").alias("text"))
-    hits = document_hits(keyed.select("key", "text"), passed, masks)
+    sizes = encoded.select(F.size("item_tokens").alias("n")).where(F.col("n") < min(map(len, masks))).distinct().collect()
+    hits = document_hits(keyed.select("key", "text"), passed, masks, wholes=sorted(r["n"] for r in sizes))
     shifts = hits.join(seeds, "seed").select("key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     work = shifts.join(encoded, "item_id").groupBy("key").agg(
         F.collect_list(F.struct("item_id", "shift", "item_tokens")).alias("alignments")
@@ -161,7 +182,8 @@ def contaminated_pairs(
                     if a >= b:
                         continue
                     n_same, start, end = best_run(item[a:b] == ids[a + shift : b + shift], share)
-                    if n_same >= min(min_tokens, -(-len(item) * int(share * 100) // 100)):
+                    enough = min(min_tokens, -(-len(item) * round(share * 1000) // 1000)) if len(item) >= LEAST_ITEM else len(item)
+                    if n_same >= enough:
                         found = (n_same, -(a + shift + start), end - start)
                         best[w["item_id"]] = max(found, best.get(w["item_id"], found))
                 rows += [(doc_id, item, -f[1], f[2], f[0]) for item, f in sorted(best.items())]

@@ -190,3 +190,31 @@ def test_filter_has_every_seed(spark):
     bits = decontaminate.seed_filter(df)
     index = {(int(s) & ((1 << 64) - 1)) >> 40 for s in [*seeds, 0, 1 << 40, -1]}
     assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == index
+
+
+def test_decontamination_finds_a_fifth_substituted(spark):
+    cases = [(n, set(range(o, n, 5))) for n in (15, 20, 38, 59) for o in range(5) if 5 * len(range(o, n, 5)) <= n]
+    cases += [(n, {at}) for n in (8, 9, 10, 12) for at in range(n)]
+    cases += [(15, {4, 10}), (15, {3, 7, 11}), (10, {2, 6}), (12, {4, 8}), (5, set()), (7, set()), (2, set()), (1, set())]
+    none = [(5, {2}), (7, {0}), (15, {2, 5, 8, 11}), (2, {1})]
+    docs, items = [], []
+    for i, (n, gone) in enumerate(cases + none):
+        item = [f"i{i}t{k}" for k in range(n)]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(["a"] * 6 + [f"sub{k}" if k in gone else w for k, w in enumerate(item)] + ["b"] * 7)))
+    found = decontaminate.contaminated_pairs(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, i) for i in range(len(cases))]
+    for r in found:
+        n, gone = cases[r["doc_id"]]
+        assert r["n_same"] == n - len(gone) or 5 * len(gone) == n
+
+
+def test_best_run_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        same = np.array([rng.random() < 0.75 for _ in range(rng.randint(1, 40))])
+        runs = [(int(same[a:b].sum()), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * same[a:b].sum() >= 4 * (b - a)]
+        n_same, start, end = decontaminate.best_run(same)
+        assert (n_same, start - end) == max(runs, default=(0, 0)) and n_same == same[start:end].sum()
