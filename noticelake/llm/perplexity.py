@@ -1,10 +1,9 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model counted in Spark, and bands per language.
 
 The model predicts the bytes of words from the four before them, blanks standing for a word's edges; n-grams of each
-language are apart. Counts cover every word of every text. All orders are kept as sorted arrays of n-gram hashes: the leading
-``TABLE_BITS`` bits are a slot, so that an order has at most 2**TABLE_BITS entries however large the corpus, and
-``CHECK_BITS`` more tell a slot's n-gram from others. N-grams that share a slot add up for the most frequent of them; the
-others count as unseen. Words repeat, so a task scores a word once.
+language are apart. Counts cover every word of every text. All orders are kept whole, as sorted arrays of n-gram hashes of
+``ID_BITS`` bits, so the model grows with the different n-grams of the corpus. Contexts do not reach into the word before:
+the order of words does not count, and a task scores a word once.
 """
 
 from __future__ import annotations
@@ -21,8 +20,7 @@ from pyspark.sql import functions as F
 from noticelake.llm.common import U64, WordHashes, mix, small_side, stage, texts, window_hashes
 
 ORDER = 5
-TABLE_BITS = 21
-CHECK_BITS = 16
+ID_BITS = 63
 #: From this order on, n-grams that were met once are left out.
 PRUNED_FROM = 3
 MIN_WORDS = 20
@@ -58,10 +56,10 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_ids(keys: np.ndarray, order: int, seeds: np.ndarray | int, bits: int) -> np.ndarray:
-    """Hash of n-grams of ``order`` bytes of a language: a slot of ``bits`` and ``CHECK_BITS`` behind it."""
+    """Hash, of ``bits`` bits, of n-grams of ``order`` bytes of a language."""
     with np.errstate(over="ignore"):
         salted = keys ^ mix(np.asarray(seeds, U64) + U64(order))
-        return (mix(salted) >> U64(64 - bits - CHECK_BITS)).astype(np.int64)
+        return (mix(salted) >> U64(64 - bits)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -144,10 +142,10 @@ def _find(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[at] == wanted, at
 
 
-def fit_model(docs: DataFrame, bits: int = TABLE_BITS) -> NgramModel:
+def fit_model(docs: DataFrame, bits: int = ID_BITS) -> NgramModel:
     """Count in Spark, derive continuation counts order by order in Spark, and interpolate on the hashed tables.
 
-    The driver gets at most ``ORDER * 2**bits`` rows of five numbers.
+    The driver gets a row of five numbers for each different n-gram of a language and order.
     """
     level = stage(gram_counts(docs), "grams")
     orders = level.select(F.lit(ORDER).alias("order"), "lang", "key", "n")
@@ -177,9 +175,8 @@ def fit_model(docs: DataFrame, bits: int = TABLE_BITS) -> NgramModel:
 
     table = (
         orders.mapInArrow(hashed, "order int, id long, context long, suffix long, n long")
-        .withColumn("rank", F.col("n") * (1 << CHECK_BITS) + F.col("id").bitwiseAND((1 << CHECK_BITS) - 1))
-        .groupBy("order", F.shiftright("id", CHECK_BITS).alias("slot"))
-        .agg(F.sum("n").alias("n"), *[F.max_by(c, "rank").alias(c) for c in ("id", "context", "suffix")])
+        .groupBy("order", "id")
+        .agg(F.sum("n").alias("n"), F.max("context").alias("context"), F.max("suffix").alias("suffix"))
         .toArrow()
     )
     columns = {c: table.column(c).to_numpy() for c in table.column_names}
@@ -317,7 +314,7 @@ def perplexity_bands(scored: DataFrame, width: float = BAND_WIDTH, least: float
     return found.select("band_lang", (mid - reach(mid - low)).alias("lower"), (mid + reach(high - mid)).alias("upper"))
 
 
-def judge_quality(docs: DataFrame, bits: int = TABLE_BITS, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
+def judge_quality(docs: DataFrame, bits: int = ID_BITS, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
     """Statistics, ``base_failed``, ``perplexity``, the bounds and ``kept`` of every row.
 
     A row is kept when the base rules pass and its perplexity lies within its language's bounds. NULL, empty and blank

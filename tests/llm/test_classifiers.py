@@ -218,3 +218,11 @@ def test_best_run_against_brute_force():
         runs = [(int(same[a:b].sum()), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * same[a:b].sum() >= 4 * (b - a)]
         n_same, start, end = decontaminate.best_run(same)
         assert (n_same, start - end) == max(runs, default=(0, 0)) and n_same == same[start:end].sum()
+
+
+def test_model_keeps_every_gram(spark):
+    docs = read_table(spark, SF, "documents")
+    grams = [(r["lang"], r["key"], r["n"]) for r in perplexity.gram_counts(docs).collect()]
+    model = perplexity.fit_model(docs)
+    assert len(model.grams[-1][0]) == sum(n > 1 for _, _, n in grams)
+    assert len(model.contexts[-1][0]) == len({(lang, key >> 8) for lang, key, _ in grams})
