@@ -1,8 +1,9 @@
 """Repeated passages of words by sharded Aho-Corasick automata.
 
 Passages that recur are confirmed first, shard by shard; a shard's automaton holds every confirmed window of its passages,
-and all stretches of all documents that can hold one of them are streamed through it. Shards are minimizers, so each
-window of each document meets the one automaton that may know it.
+and one of each kind of stretch that can hold one of them is streamed through it. Shards are minimizers, so each window
+meets the one automaton that may know it. Stretches equal as wholes are found by their digests, and the windows of
+minimizers with too many kinds by hashes that Spark groups; neither meets an automaton.
 """
 
 from __future__ import annotations
