@@ -8,12 +8,13 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import chat, decontaminate, language_id, mixing, perplexity, phrase_dedup, simhash, suffix_dedup
-from noticelake.llm import token_orc, url_filter
-from noticelake.llm.common import read_table, with_digest
+from noticelake.llm import bpe_prefix, chat, decontaminate, language_id, mixing, periodic_runs, perplexity, phrase_dedup
+from noticelake.llm import simhash, suffix_dedup, token_orc, url_filter
+from noticelake.llm.common import WORD, read_table, with_digest
 from noticelake.storage import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -84,6 +85,36 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bpe_prefix_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_prefix.encode_texts(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), decode=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, picked by the checksum of the id, go on periodically from some word."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    picked = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0)).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    placed = picked.withColumn("a", F.when(n > 0, g % n).cast("int"))
+    placed = placed.withColumn("p", F.floor(1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    word = "transform(sequence(0, size(w) - 1), i -> element_at(w, 1 + if(i < a, i, a + (i - a) % p)))"
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.expr(word), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_planted_periods(read_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -126,6 +157,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op12_bpe_prefix_codec": op12_bpe_prefix_codec,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {"op10_mix_sources": OP10_SQL}
