@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe_prefix, chat, decontaminate, language_id, mixing, periodic_runs, perplexity, phrase_dedup
+from noticelake.llm import bpe_prefix, chat, collocations, decontaminate, language_id, mixing, periodic_runs, perplexity, phrase_dedup
 from noticelake.llm import simhash, suffix_dedup, token_orc, url_filter
 from noticelake.llm.common import WORD, read_table, with_digest
 from noticelake.storage import shared_dir
@@ -85,6 +85,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_prefix_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_prefix.encode_texts(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), decode=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -146,6 +150,37 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM rated
 """
 
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cut
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM pieces
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM pieces
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM pieces
+), counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), cuts AS (
+  SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), scored AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.c, y.f AS l, z.f AS r,
+    (1000000::HUGEINT * x.a * x.a) // (y.f::HUGEINT * z.f) AS score
+  FROM cuts x
+  JOIN counts y ON y.lang = x.lang AND y.phrase = array_to_string(x.w[1:x.c], ' ')
+  JOIN counts z ON z.lang = x.lang AND z.phrase = array_to_string(x.w[x.c + 1:], ' ')
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), outer_ AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cuts WHERE k = 3
+), kept AS (
+  SELECT * FROM weakest s
+  WHERE NOT EXISTS (SELECT 1 FROM outer_ o WHERE s.k = 2 AND o.lang = s.lang AND o.phrase = s.phrase AND 100 * o.a >= 50 * s.a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -157,8 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_collocations": op11_collocations,
     "op12_bpe_prefix_codec": op12_bpe_prefix_codec,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-SQL: dict[str, str] = {"op10_mix_sources": OP10_SQL}
+SQL: dict[str, str] = {"op10_mix_sources": OP10_SQL, "op11_collocations": OP11_SQL}
