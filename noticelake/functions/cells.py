@@ -1,10 +1,9 @@
 """Hierarchical cell ids.
 
 Ids are 64-bit: mode in bits 59-62, resolution in bits 52-55, base cell in bits 45-51 and fifteen 3-bit digits,
-unused digits being 7. H3 cells (mode 1) have this layout, so :func:`cell_parent`, :func:`cell_resolution` and
-:func:`cell_hex` work on stored H3 columns. :func:`with_cells` encodes points into an exactly nested lat/lng grid of
-the same layout under another mode, so its ids can never be taken for H3 cells. Analytics only need cell columns and do
-not care which encoder filled them.
+unused digits being 7. H3 cells (mode 1, see ``h3``) have this layout, so :func:`cell_parent`, :func:`cell_resolution`
+and :func:`cell_hex` work on them. :func:`with_grid_cells` encodes points by plain expressions into an exactly nested
+lat/lng grid of the same layout under another mode and other column names, so the two are never taken for each other.
 """
 
 from __future__ import annotations
@@ -112,11 +111,11 @@ def resolution_of(cell: int | str) -> int:
     return (value >> _RES_SHIFT) & 15
 
 
-def with_cells(df: DataFrame, point: str = "point", resolutions: Iterable[int] = CELL_RESOLUTIONS) -> DataFrame:
-    """Set ``h3_res1..8`` from a point column: the finest cell is encoded once, the rest are its bit parents."""
+def with_grid_cells(df: DataFrame, point: str = "point", resolutions: Iterable[int] = CELL_RESOLUTIONS) -> DataFrame:
+    """Set ``grid_res1..8`` from a point column: the finest cell is encoded once, the rest are its bit parents."""
     levels = sorted(resolutions)
     finest = levels[-1]
     x, y = _grid_index(F.col(point)["lng"], F.col(point)["lat"], finest)
     indexed = df.withColumns({"_x": x, "_y": y})
-    encoded = indexed.withColumn(f"h3_res{finest}", _cell_of_index(F.col("_x"), F.col("_y"), finest)).drop("_x", "_y")
-    return encoded.withColumns({f"h3_res{r}": cell_parent(f"h3_res{finest}", r) for r in levels[:-1]})
+    encoded = indexed.withColumn(f"grid_res{finest}", _cell_of_index(F.col("_x"), F.col("_y"), finest)).drop("_x", "_y")
+    return encoded.withColumns({f"grid_res{r}": cell_parent(f"grid_res{finest}", r) for r in levels[:-1]})

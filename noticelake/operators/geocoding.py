@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.functions.cells import with_cells
+from noticelake.functions.h3 import with_h3_cells
 from noticelake.functions.geo import (
     geocode_query,
     is_route_location,
@@ -181,7 +181,7 @@ def upsert_judgments(locations: DataFrame, incoming: DataFrame, now: Column | No
     )
     known = locations.select(*keys, F.col("id").alias("_id"), F.col("created_at").alias("_created"))
     merged = (
-        with_cells(fresh.drop("id", "created_at", "updated_at"))
+        with_h3_cells(fresh.drop("id", "created_at", "updated_at"))
         .join(known, keys, "left")
         .withColumns(
             {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticelake.functions.cells import with_cells
+from noticelake.functions.h3 import with_h3_cells
 from noticelake.functions.geo import point
 from noticelake.functions.text import normalize_marker
 from noticelake.schema import ARTICLES, CELL_COLUMNS, DESCRIPTIONS, JUDGMENT
@@ -59,7 +59,7 @@ RADAR_LAYER = T.StructType(
 def _judged(rows: DataFrame) -> DataFrame:
     """Flat or nested coordinates to a point, with cells."""
     placed = rows.withColumn("point", F.coalesce("point", point("longitude", "latitude")))
-    return with_cells(placed.drop("latitude", "longitude"))
+    return with_h3_cells(placed.drop("latitude", "longitude"))
 
 
 def _has_parts(spark: SparkSession, path: str) -> bool:

@@ -176,10 +176,10 @@ def test_cells_nest(spark):
     df = spark.range(2000).select(
         F.struct((F.rand(1) * 360 - 180).alias("lng"), (F.rand(2) * 180 - 90).alias("lat")).alias("point")
     )
-    full = cells.with_cells(df)
+    full = cells.with_grid_cells(df)
     for r in range(1, 8):
         direct = cells.grid_cell(F.col("point.lng"), F.col("point.lat"), r)
-        assert full.where(direct != F.col(f"h3_res{r}")).isEmpty()
+        assert full.where(direct != F.col(f"grid_res{r}")).isEmpty()
     assert df.select(cells.grid_cell(F.lit(180.0), F.lit(90.0), 8).alias("c")).where("c is null").isEmpty()
 
 

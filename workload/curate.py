@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticelake.functions import geo, plates, text
 from noticelake.operators import clustering, enrich, geocoding, queues, similarity
 from workload import tables as t
+from workload.h3_sql import h3_sql
 from workload.registry import query
 
 W = t.with_tables
@@ -693,11 +694,12 @@ def validate_judgments(spark, sf) -> DataFrame:
     W(t.LOCATIONS_SQL, _JUDGMENTS_SQL)
     + f""", incoming AS (SELECT * FROM judgments WHERE trim(location) <> ''),
     merged AS (SELECT coalesce(l.id, -1) AS id, i.db_id, i.location, i.canonical_location, i.lng, i.lat, coalesce(l.created_s, 0) AS created, 0 AS updated
-      FROM incoming i LEFT JOIN locations l ON l.db_id = i.db_id AND l.location = i.location)
-    SELECT * EXCLUDE (lng, lat), round(lng, 6) AS lng, round(lat, 6) AS lat, printf('%x', {t.cell_sql('lng', 'lat', 8)}) AS cell FROM (
-      SELECT * FROM merged UNION ALL
+      FROM incoming i LEFT JOIN locations l ON l.db_id = i.db_id AND l.location = i.location),
+    result AS (SELECT * FROM merged UNION ALL
       SELECT id, db_id, location, canonical_location, lng, lat, created_s, updated_s FROM locations
-      WHERE (db_id, location) NOT IN (SELECT (db_id, location) FROM incoming))""",
+      WHERE (db_id, location) NOT IN (SELECT (db_id, location) FROM incoming)),{h3_sql("jh", "SELECT lng, lat FROM result")}
+    SELECT a.* EXCLUDE (lng, lat), round(a.lng, 6) AS lng, round(a.lat, 6) AS lat, printf('%x', c.h3_res8) AS cell
+    FROM result a LEFT JOIN jh_cells c ON c.lng = a.lng AND c.lat = a.lat""",
 )
 def upsert_judgments(spark, sf) -> DataFrame:
     stored = t.locations(spark, sf)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.functions import cells
+from noticelake.functions import cells, h3
 from noticelake.operators import facets as fc
 from noticelake.operators import listing, maps, timeseries
 from noticelake.operators.predicates import apply_predicates
@@ -482,8 +483,7 @@ def chart_event_hours(spark, sf) -> DataFrame:
 )
 def point_cells(spark, sf) -> DataFrame:
     return t.locations(spark, sf).select(
-        "id", *[cells.cell_hex(cells.cell_parent("h3_res8", r)).alias(f"cell{r}") for r in range(1, 8)],
-        cells.cell_hex("h3_res8").alias("cell8"),
+        "id", *[cells.cell_hex(f"h3_res{r}").alias(f"cell{r}") for r in range(1, 9)]
     )
 
 
@@ -526,17 +526,7 @@ def map_tiles_viewport(spark, sf) -> DataFrame:
 
 
 def _literal_cell(lng: float, lat: float, res: int) -> int:
-    columns, rows = cells._grid_size(res)
-    x, y = int((lng + 180) / 30 * columns), int((lat + 90) / 18 * rows)
-    cell = (cells.GRID_MODE << 59) | (res << 52) | (((y // rows) * cells.BASE_COLUMNS + x // columns) << 45)
-    for r in range(1, 16):
-        if r > res:
-            digit = 7
-        else:
-            sx, sy = cells._splits(r)
-            digit = (y // (rows // cells._grid_size(r)[1]) % sy) * sx + x // (columns // cells._grid_size(r)[0]) % sx
-        cell |= digit << (3 * (15 - r))
-    return cell
+    return int(h3.cells_of(np.array([lng]), np.array([lat]), res)[0])
 
 
 _MAP_CELL = _literal_cell(-55.0, -33.4, 3)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticelake.functions import geo, plates
-from noticelake.functions.cells import BASE_COLUMNS, GRID_MODE, _grid_size, _splits, with_cells
+from noticelake.functions.h3 import with_h3_cells
 from noticelake.schema import CELL_COLUMNS, OFFENSES
 from noticelake.sources.offenses import read_offenses, write_offenses
 from noticelake.storage import shared_dir
+from workload.h3_sql import h3_sql
 
 # The derived record ids exceed 32 bits, and the given times carry no zone.
 STORED_SCHEMA = T.StructType(
@@ -103,7 +104,7 @@ def build_offenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                then array(concat('B.', substring(p_brand, 7)), concat('T.', p_type))
                else array(concat('B.', substring(p_brand, 7))) end end"""
     )
-    rows = with_cells(plates.with_vehicle(raw_offenses(spark, sf_dir)))
+    rows = with_h3_cells(plates.with_vehicle(raw_offenses(spark, sf_dir)))
     codes = F.when(
         F.col("p_size") % 5 != 0,
         F.when(
@@ -157,7 +158,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"timestamp_seconds({EPOCH} + s_suppkey * 3600)").alias("created_at"),
         F.expr(f"timestamp_seconds({EPOCH} + s_suppkey * 7200)").alias("updated_at"),
     )
-    return with_cells(rows)
+    return with_h3_cells(rows)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,27 +251,6 @@ def route_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same tables in SQL.
 
 
-def cell_sql(lng: str, lat: str, res: int) -> str:
-    """Grid cell of a point, as DuckDB SQL."""
-    columns, rows = _grid_size(res)
-    x = f"cast(floor(({lng} + 180.0::DOUBLE) / 30.0::DOUBLE * {columns}.0::DOUBLE) as bigint)"
-    y = f"cast(floor(({lat} + 90.0::DOUBLE) / 18.0::DOUBLE * {rows}.0::DOUBLE) as bigint)"
-    fixed = (GRID_MODE << 59) | (res << 52)
-    for unused in range(res + 1, 16):
-        fixed |= 7 << (3 * (15 - unused))
-    sql = f"{fixed}::BIGINT | ((({y} // {rows}) * {BASE_COLUMNS} + ({x} // {columns})) << 45)"
-    for r in range(1, res + 1):
-        sx, sy = _splits(r)
-        px, py = columns // _grid_size(r)[0], rows // _grid_size(r)[1]
-        sql += f" | ((((({y} // {py}) % {sy}) * {sx} + (({x} // {px}) % {sx}))) << {3 * (15 - r)})"
-    return f"({sql})"
-
-
-def parent_sql(cell: str, res: int) -> str:
-    unused = sum(7 << (3 * (15 - r)) for r in range(res + 1, 16))
-    return f"(({cell} & {~(15 << 52)}) | {(res << 52) | unused}::BIGINT)"
-
-
 def hex_sql(cell: str) -> str:
     return f"printf('%x', {cell})"
 
@@ -334,13 +314,14 @@ PLATE_TYPE_SQL = """CASE
     CASE WHEN regexp_full_match({v}, '[A-Z]{{4}}[0-9]{{2}}') AND NOT regexp_matches({v}, '^(CC|CD|EE)') THEN 'Moto' ELSE 'Auto' END
   END"""
 
-_PARENTS_SQL = ", ".join(f"{parent_sql('h3_res8', r)} AS h3_res{r}" for r in range(1, 8))
+_CELLS_SQL = ", ".join(f"c.h3_res{r}" for r in range(1, 9))
+_SUPPLIER_POINTS = f"SELECT {_LNG_SQL} AS lng, {_LAT_SQL} AS lat FROM supplier"
 
 OFFENSES_SQL = (
     RAW_SQL
-    + f""",
-celled AS (
-  SELECT *, CASE WHEN lng IS NOT NULL THEN {cell_sql('lng', 'lat', 8)} END AS h3_res8,
+    + f""",{h3_sql("oh", _SUPPLIER_POINTS)},
+offenses AS (
+  SELECT raw.*, {_CELLS_SQL},
     {PLATE_COUNTRY_SQL.format(v='vehicle')} AS vehicle_country,
     {PLATE_TYPE_SQL.format(v='vehicle')} AS vehicle_type,
     CASE WHEN p_size % 5 <> 0 THEN CASE WHEN p_size % 2 = 0
@@ -348,9 +329,8 @@ celled AS (
     CASE WHEN p_size % 5 <> 0 THEN CASE WHEN p_size % 2 = 0
       THEN [substr(p_brand, 7)::INT % 7 + 1, (length(p_type) % 3 + 8)::INT]
       ELSE [substr(p_brand, 7)::INT % 7 + 1] END END AS article_codes
-  FROM raw
-),
-offenses AS (SELECT *, {_PARENTS_SQL} FROM celled)"""
+  FROM raw LEFT JOIN oh_cells c ON c.lng = raw.lng AND c.lat = raw.lat
+)"""
 )
 
 LOCATIONS_SQL = f"""
@@ -363,8 +343,8 @@ located AS (
     {EPOCH} + s_suppkey * 3600 AS created_s, {EPOCH} + s_suppkey * 7200 AS updated_s
   FROM supplier WHERE s_acctbal >= 2500
 ),
-celled_locations AS (SELECT *, {cell_sql('lng', 'lat', 8)} AS h3_res8 FROM located),
-locations AS (SELECT *, {_PARENTS_SQL} FROM celled_locations)"""
+{h3_sql("lh", _SUPPLIER_POINTS)},
+locations AS (SELECT l.*, {_CELLS_SQL} FROM located l LEFT JOIN lh_cells c ON c.lng = l.lng AND c.lat = l.lat)"""
 
 ARTICLES_SQL = """
 articles AS (
