@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticelake.functions.text import contains_any_case, literal_lookup
-from noticelake.operators.predicates import Predicates, apply_predicates, dimension_column, feature_conditions
+from noticelake.operators.predicates import Predicates, apply_predicates, dimension_column, feature_conditions, predicate
 from noticelake.schema import ARRAY_DIMENSIONS, COUNTRY_LABELS, DIMENSION_COLUMNS, FEATURE_LABELS
 
 # Values shown per dimension (fixed values).
@@ -24,31 +25,51 @@ DOCUMENT_KEY = ("db_id", "doc_id")
 _SELECTED = T.StructType([T.StructField("dimension", T.StringType()), T.StructField("value", T.StringType())])
 
 
-def _entries(dims: Sequence[str], unnest: bool = True) -> Column:
-    """array<struct(dimension, value)> holding every facet value of a record."""
+def _entries(dims: Sequence[str], counts_for: Mapping[str, Column], unnest: bool = True) -> Column:
+    """array<struct(dimension, value)> holding the facet values of a record in each dimension that it counts for."""
 
     def entry(dim: str, value: Column) -> Column:
         return F.struct(F.lit(dim).alias("dimension"), value.cast("string").alias("value"))
 
+    def present(entries: list[Column]) -> Column:
+        return F.filter(F.array(*entries), lambda e: e.isNotNull())
+
     scalars = [d for d in dims if d != "features" and (d not in ARRAY_DIMENSIONS or not unnest)]
     arrays = [d for d in dims if d in ARRAY_DIMENSIONS and unnest]
     parts = []
     if scalars:
-        parts.append(F.array(*[entry(d, dimension_column(d)) for d in scalars]))
+        parts.append(present([F.when(counts_for[d], entry(d, dimension_column(d))) for d in scalars]))
     for dim in arrays:
-        values = F.coalesce(dimension_column(dim), F.array().cast(f"array<{'int' if dim == 'article_code' else 'string'}>"))
+        values = F.when(counts_for[dim], dimension_column(dim))
+        values = F.coalesce(values, F.array().cast(f"array<{'int' if dim == 'article_code' else 'string'}>"))
         parts.append(F.transform(values, partial(entry, dim)))
     if "features" in dims:
-        flags = [F.when(c, entry("features", F.lit(n))) for n, c in feature_conditions().items()]
-        parts.append(F.filter(F.array(*flags), lambda e: e.isNotNull()))
+        flags = feature_conditions().items()
+        parts.append(present([F.when(counts_for["features"] & c, entry("features", F.lit(n))) for n, c in flags]))
     return F.concat(*parts)
 
 
-def _branches(preds: Predicates | None, dims: Sequence[str]) -> list[tuple[str | None, list[str]]]:
-    """Group dimensions by the predicate they ignore: those without an own predicate share one scan."""
-    own = [d for d in dims if (preds or {}).get(d)]
-    shared = [d for d in dims if d not in own]
-    return ([(None, shared)] if shared else []) + [(d, [d]) for d in own]
+def _facet_entries(
+    df: DataFrame, preds: Predicates | None, dims: Sequence[str], unnest: bool = True, carried: Sequence[str] = ()
+) -> DataFrame:
+    """``dimension, value`` and carried columns of every value a record counts for, from one scan.
+
+    Each record carries a mask of the predicates it fails, among those whose own dimension is asked for. It counts for a
+    dimension if the mask has no bit but that dimension's; with two bits it counts for none and is dropped ahead of the
+    masks' use. Predicates of other dimensions hold for all, and reach the scan.
+    """
+    failing = {d: c for d in dict.fromkeys(dims) if (c := predicate(d, (preds or {}).get(d, ()))) is not None}
+    always = apply_predicates(df, {d: v for d, v in (preds or {}).items() if d not in failing})
+    # Never NULL: a join on it then adds no condition that would tell apart two uses of one aggregate.
+    dimension = F.coalesce("e.dimension", F.lit("")).alias("dimension")
+    if not failing:
+        every = dict.fromkeys(dims, F.lit(True))
+        return always.select(F.explode(_entries(dims, every, unnest)).alias("e"), *carried).select(dimension, "e.value", *carried)
+    bits = {d: 1 << i for i, d in enumerate(failing)}
+    mask = reduce(add, [F.when(F.coalesce(c, F.lit(False)), 0).otherwise(bits[d]) for d, c in failing.items()])
+    masked = always.withColumn("_failed", mask).where(F.bit_count("_failed") <= 1)
+    counts_for = {d: F.col("_failed").isin(0, bits[d]) if d in bits else F.col("_failed") == 0 for d in dims}
+    return masked.select(F.explode(_entries(dims, counts_for, unnest)).alias("e"), *carried).select(dimension, "e.value", *carried)
 
 
 def _search_condition(search: Mapping[str, str] | None, databases: Mapping[int, str]) -> Column:
@@ -81,33 +102,27 @@ def facet_counts(
 ) -> DataFrame:
     """(dimension, value, count) of all values; each dimension ignores its own predicate.
 
-    ``count`` is "records" or "documents". Counts are combined map-side, so a value held by most rows costs nothing
-    extra.
+    ``count`` is "records" or "documents". All dimensions come from one scan. Counts are combined map-side, so a value
+    held by most rows costs nothing extra.
     """
     for dim in dims:
         if dim not in DIMENSION_COLUMNS:
             raise ValueError(f"unknown dimension: {dim}")
     measure = F.count(F.lit(1)) if count == "records" else F.countDistinct(*DOCUMENT_KEY)
     carried = [] if count == "records" else list(DOCUMENT_KEY)
-    counted = None
-    for ignored, members in _branches(preds, dims):
-        rows = apply_predicates(df, preds, exclude=ignored)
-        values = (
-            rows.select(F.explode(_entries(members, unnest)).alias("e"), *carried)
-            .select("e.dimension", "e.value", *carried)
-            .where(_search_condition(search, databases or {}))
-        )
-        part = values.groupBy("dimension", "value").agg(measure.alias("count"))
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+    values = _facet_entries(df, preds, list(dict.fromkeys(dims)), unnest, carried)
+    values = values.where(_search_condition(search, databases or {}))
+    return values.groupBy("dimension", "value").agg(measure.alias("count"))
 
 
 def facet_totals(counts: DataFrame) -> DataFrame:
     """Distinct values per dimension, NULL and '' being one value (array elements: '' only if present)."""
-    is_null = F.max(F.when(F.col("value").isNull(), 1).otherwise(0))
-    is_blank = F.max(F.when(F.col("value") == "", 1).otherwise(0))
+    # Uses the counts, so that it needs the same rows and columns as the top values do and both read one aggregate.
+    held = F.col("count") > 0
+    is_null = F.max(F.when(F.col("value").isNull() & held, 1).otherwise(0))
+    is_blank = F.max(F.when((F.col("value") == "") & held, 1).otherwise(0))
     return (
-        counts.where(F.col("dimension") != "features")
+        counts.where(F.when(F.col("dimension") != "features", F.col("count")) > 0)
         .groupBy("dimension")
         .agg((F.count(F.lit(1)) - is_null * is_blank).alias("total_values"))
     )
@@ -115,16 +130,8 @@ def facet_totals(counts: DataFrame) -> DataFrame:
 
 def approximate_totals(df: DataFrame, preds: Predicates | None, dims: Sequence[str]) -> DataFrame:
     """Distinct values per dimension by sketch, for very wide dimensions."""
-    total = None
-    for ignored, members in _branches(preds, [d for d in dims if d != "features"]):
-        rows = apply_predicates(df, preds, exclude=ignored)
-        part = (
-            rows.select(F.explode(_entries(members)).alias("e"))
-            .groupBy(F.col("e.dimension").alias("dimension"))
-            .agg(F.approx_count_distinct(F.coalesce("e.value", F.lit(""))).alias("total_values"))
-        )
-        total = part if total is None else total.unionByName(part)
-    return total
+    values = _facet_entries(df, preds, [d for d in dict.fromkeys(dims) if d != "features"])
+    return values.groupBy("dimension").agg(F.approx_count_distinct(F.coalesce("value", F.lit(""))).alias("total_values"))
 
 
 def top_values(counts: DataFrame, limits: Mapping[str, int] | None = None, default: int = FACET_LIMIT) -> DataFrame:
@@ -189,13 +196,15 @@ def facets(
     databases: DataFrame | None = None,
     articles: DataFrame | None = None,
     database_names: Mapping[int, str] | None = None,
+    limits: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Top values per dimension with totals, labels and the selected ones pinned first.
 
     Rows: dimension, value ('' for NULL), label, count, selected, total_values, ordered as a sidebar shows them.
+    ``limits`` says how many values a dimension shows, where not the usual number.
     """
     counts = facet_counts(df, preds, dims, search, database_names)
-    return _present(counts, preds, dims, LONG_FACETS, databases, articles)
+    return _present(counts, preds, dims, {**LONG_FACETS, **(limits or {})}, databases, articles)
 
 
 def document_facets(
@@ -204,10 +213,11 @@ def document_facets(
     dims: Sequence[str],
     databases: DataFrame | None = None,
     articles: DataFrame | None = None,
+    limits: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """As :func:`facets`, counting distinct documents instead of records."""
     counts = facet_counts(df, preds, dims, count="documents", unnest=False)
-    return _present(counts, preds, dims, {}, databases, articles)
+    return _present(counts, preds, dims, limits or {}, databases, articles)
 
 
 def _present(counts, preds, dims, limits, databases, articles) -> DataFrame:
@@ -240,9 +250,11 @@ def suggest_values(
     databases: DataFrame | None = None,
     articles: DataFrame | None = None,
     database_names: Mapping[int, str] | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Values of one dimension that contain the text typed so far, most frequent first."""
-    return facets(df, preds, [dim], {dim: query}, databases, articles, database_names)
+    limits = None if limit is None else {dim: limit}
+    return facets(df, preds, [dim], {dim: query}, databases, articles, database_names, limits)
 
 
 def location_breakdown(df: DataFrame, preds: Predicates | None = None, top: int = 5) -> DataFrame:
@@ -252,30 +264,35 @@ def location_breakdown(df: DataFrame, preds: Predicates | None = None, top: int
     """
     dim = "article_id" if (preds or {}).get("article_code") else "article_code"
     chosen = (preds or {}).get(dim)
+    own = predicate(dim, chosen or ())
     rows = apply_predicates(df, preds, exclude=dim).where(F.col("location").isNotNull())
-    totals = apply_predicates(df, preds).where(F.col("location").isNotNull()).groupBy("location").agg(
-        F.count(F.lit(1)).alias("total")
+    # One scan: a record gives its values and, if it passes the own predicate as well, one unit of the total.
+    values = F.coalesce(dimension_column(dim).cast("array<string>"), F.array().cast("array<string>"))
+    passes = F.lit(True) if own is None else F.coalesce(own, F.lit(False))
+    unit = F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("value"))
+    entries = F.concat(
+        F.transform(values, lambda v: F.struct(F.lit(False).alias("whole"), v.alias("value"))),
+        F.when(passes, F.array(unit)).otherwise(F.array().cast("array<struct<whole:boolean,value:string>>")),
     )
-    counts = (
-        rows.select("location", F.explode(dimension_column(dim)).alias("value"))
-        .groupBy("location", F.col("value").cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"))
+    counts = rows.select("location", F.explode(entries).alias("e")).groupBy("location", "e.whole", "e.value").agg(
+        F.count(F.lit(1)).alias("count")
     )
-    if chosen:
-        listed = counts.where(F.col("value").isin(*[str(v) for v in chosen]))
-    else:
-        order = Window.partitionBy("location").orderBy(F.col("count").desc(), F.col("value").asc())
-        listed = counts.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top).drop("_rank")
-    shown = listed.groupBy("location").agg(F.sum("count").alias("_shown"))
-    rest = (
-        totals.join(shown, "location", "left")
-        .withColumn("count", F.col("total") - F.coalesce("_shown", F.lit(0)))
-        .where(F.col("count") > 0)
-        .select("location", F.lit("Otros").alias("value"), "count", "total")
+    # A location has as many rows here as different articles.
+    place = Window.partitionBy("location")
+    rank = F.row_number().over(Window.partitionBy("location", "whole").orderBy(F.col("count").desc(), F.col("value").asc()))
+    listed = F.col("value").isin(*[str(v) for v in chosen]) if chosen else F.col("_rank") <= top
+    ranked = counts.withColumn("_rank", rank).withColumn("_listed", ~F.col("whole") & F.coalesce(listed, F.lit(False)))
+    summed = ranked.withColumns(
+        {
+            "total": F.max(F.when(F.col("whole"), F.col("count"))).over(place),
+            "_shown": F.sum(F.when(F.col("_listed"), F.col("count")).otherwise(0)).over(place),
+        }
     )
-    return (
-        listed.join(totals, "location")
-        .select("location", "value", "count", "total")
-        .unionByName(rest)
-        .withColumn("percent", F.col("count") / F.col("total") * 100)
+    out = summed.where(F.col("total").isNotNull()).select(
+        "location",
+        F.when(F.col("whole"), F.lit("Otros")).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("whole"), F.col("total") - F.col("_shown")).otherwise(F.col("count")).alias("count"),
+        "total",
+        F.when(F.col("whole"), F.col("total") > F.col("_shown")).otherwise(F.col("_listed")).alias("_kept"),
     )
+    return out.where("_kept").drop("_kept").withColumn("percent", F.col("count") / F.col("total") * 100)

@@ -16,6 +16,8 @@ MAX_POINTS_PER_CELL = 20
 FINEST = 8
 # End of fixed values.
 
+BBox = tuple[float, float, float, float]
+
 
 def _cell_column(res: int) -> Column:
     return F.col(f"h3_res{res}")
@@ -59,64 +61,73 @@ def _point_columns() -> list[Column]:
     ]
 
 
-def _tiles(rows: DataFrame, res: int) -> DataFrame:
-    """Features of every parent cell of ``res``, with its id in ``parent``.
+def _inside(bbox: BBox) -> Column:
+    west, south, east, north = bbox
+    return F.coalesce(F.col("lng").between(west, east) & F.col("lat").between(south, north), F.lit(False))
+
+
+def _tiles(rows: DataFrame, res: int, bbox: BBox | None = None, only: int | None = None) -> DataFrame:
+    """Features of every parent cell of ``res``, with its id in ``parent``; of those seen in a box, or of one.
 
-    A parent has few children, so the budget window never holds more than a handful of rows per parent. Children are
-    opened in ascending number of locations while the visible total stays within the budget; an opened child that
-    turns out to have too many points goes back to one cluster at the mean of its points.
+    One aggregate per (parent, child, point, location) is all that is taken from the records; clusters are sums over it, and
+    points are it. A parent has few children, so the budget window never holds more than a handful of rows per parent.
+    Children are opened in ascending number of locations while the visible total stays within the budget; an opened child
+    that turns out to have too many points goes back to one cluster at the mean of its points.
     """
-    parent, child = _cell_column(res), _cell_column(res + 1)
-    clusters = (
-        rows.where(parent.isNotNull() & child.isNotNull())
-        .groupBy(parent.alias("parent"), child.alias("cell"))
-        .agg(
-            F.count(F.lit(1)).alias("offenses"),
-            F.countDistinct("location").alias("locations"),
-            F.avg("point.lng").alias("lng"),
-            F.avg("point.lat").alias("lat"),
+    base = (
+        rows.select(
+            _cell_column(res).alias("parent"),
+            _cell_column(res + 1).alias("cell"),
+            F.col("point.lng").alias("lng"),
+            F.col("point.lat").alias("lat"),
+            "location",
         )
+        .where("cell is not null")
+        .groupBy("parent", "cell", "lng", "lat", "location")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    running = (
-        Window.partitionBy("parent")
-        .orderBy("locations", "cell")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    visible = F.count(F.lit(1)).over(Window.partitionBy("parent")) + F.sum(F.col("locations") - 1).over(running)
-    decided = clusters.withColumn("_open", visible <= MAX_VISIBLE_POINTS)
-    kept = decided.where(~F.col("_open")).select(
-        "parent",
-        F.lit("cluster").alias("type"),
-        cell_hex("cell").alias("h3_index"),
-        F.round("lng", 6).alias("lng"),
-        F.round("lat", 6).alias("lat"),
-        F.lit(None).cast("string").alias("location"),
-        "offenses",
-        "locations",
+    seen = F.max(_inside(bbox)) if bbox else F.lit(True)
+    placed = F.sum(F.when(F.col("lng").isNotNull(), F.col("n")))
+    clusters = base.groupBy("parent", "cell").agg(
+        F.sum("n").alias("_offenses"),
+        F.countDistinct("location").alias("_locations"),
+        F.round(F.sum(F.col("lng") * F.col("n")) / placed, 6).alias("_lng"),
+        F.round(F.sum(F.col("lat") * F.col("n")) / placed, 6).alias("_lat"),
+        seen.alias("_seen"),
     )
+    whole = Window.partitionBy("parent")
+    running = whole.orderBy("_locations", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    visible = F.count(F.lit(1)).over(whole) + F.sum(F.col("_locations") - 1).over(running)
+    decided = clusters.withColumns({"_open": visible <= MAX_VISIBLE_POINTS, "_seen": F.max("_seen").over(whole)})
+    # Conditions on sums, not on keys, stay above the aggregate: both sides then read the same one.
+    wanted = F.col("parent").isNotNull() if only is None else F.col("parent") == only
+    decided = decided.where(F.when(wanted & F.col("_seen"), F.col("_offenses")) > 0)
     # All records of an opened child count, also those stored under another parent.
-    opened = decided.where("_open").select("parent", "cell")
-    points = _points(rows, res + 1).join(opened, "cell")
-    sizes = points.groupBy("parent", "cell").agg(
-        F.count(F.lit(1)).alias("_points"),
-        F.avg(F.round("lng", 6)).alias("_lng"),
-        F.avg(F.round("lat", 6)).alias("_lat"),
-        F.sum("offenses").alias("_offenses"),
+    points = base.groupBy("cell", "lng", "lat", "location").agg(F.sum("n").alias("n"))
+    points = points.where(F.when(F.col("lng").isNotNull(), F.col("n")) > 0).withColumnRenamed("cell", "_cell")
+    met = decided.join(points, F.col("_open") & (F.col("cell") == F.col("_cell")), "left")
+    met = met.where(~F.col("_open") | F.col("n").isNotNull())
+    crowded = F.count("n").over(Window.partitionBy("parent", "cell")) > MAX_POINTS_PER_CELL
+    # What stays one feature: a closed child has one row by now, those of a crowded one meet again, others are points.
+    met = met.withColumn("_many", crowded).withColumn("_single", F.col("_open") & ~F.col("_many"))
+    met = met.withColumn("_point", F.when(F.col("_single"), F.struct("lng", "lat", "location")))
+    merged = met.groupBy("parent", "cell", "_open", "_single", "_point").agg(
+        F.sum("n").alias("n"),
+        F.count("n").alias("_count"),
+        F.avg(F.round("lng", 6)).alias("_mean_lng"),
+        F.avg(F.round("lat", 6)).alias("_mean_lat"),
+        *[F.max(c).alias(c) for c in ("_offenses", "_locations", "_lng", "_lat")],
     )
-    crowded = sizes.where(F.col("_points") > MAX_POINTS_PER_CELL)
-    regrouped = crowded.select(
+    return merged.select(
         "parent",
-        F.lit("cluster").alias("type"),
+        F.when(F.col("_single"), F.lit("location")).otherwise(F.lit("cluster")).alias("type"),
         cell_hex("cell").alias("h3_index"),
-        F.col("_lng").alias("lng"),
-        F.col("_lat").alias("lat"),
-        F.lit(None).cast("string").alias("location"),
-        F.col("_offenses").alias("offenses"),
-        F.col("_points").alias("locations"),
+        F.when(F.col("_open"), F.col("_mean_lng")).otherwise(F.col("_lng")).alias("lng"),
+        F.when(F.col("_open"), F.col("_mean_lat")).otherwise(F.col("_lat")).alias("lat"),
+        F.col("_point.location").alias("location"),
+        F.when(F.col("_open"), F.col("n")).otherwise(F.col("_offenses")).alias("offenses"),
+        F.when(~F.col("_open"), F.col("_locations")).when(~F.col("_single"), F.col("_count")).alias("locations"),
     )
-    shown = points.join(crowded.select("parent", "cell"), ["parent", "cell"], "left_anti")
-    singles = shown.select("parent", *_point_columns())
-    return kept.unionByName(regrouped).unionByName(singles)
 
 
 def map_clusters(df: DataFrame, preds: Predicates | None, cell: int | str) -> DataFrame:
@@ -131,37 +142,29 @@ def map_clusters(df: DataFrame, preds: Predicates | None, cell: int | str) -> Da
     # Children stored under this parent; their records elsewhere are needed when they open.
     children = inside.select(child.alias("_child")).where(F.col("_child").isNotNull()).distinct()
     related = rows.join(children, child == F.col("_child"), "left_semi")
-    return _tiles(related, res).where(F.col("parent") == number).drop("parent")
+    return _tiles(related, res, only=number).drop("parent")
 
 
 def map_tiles(
     df: DataFrame,
     preds: Predicates | None,
     res: int,
-    bbox: tuple[float, float, float, float] | None = None,
+    bbox: BBox | None = None,
 ) -> DataFrame:
     """Features of every cell of one resolution at once, as (parent, …), in a single pass.
 
     ``bbox`` = (min lng, min lat, max lng, max lat) keeps parents with at least one record inside it.
     """
     rows = apply_predicates(df, preds)
-    parent = cell_hex("parent")
     if res >= FINEST:
         features = _points(rows.where(_cell_column(FINEST).isNotNull()), FINEST).withColumn("parent", F.col("cell"))
+        if bbox is not None:
+            seen = F.max(_inside(bbox)).over(Window.partitionBy("parent"))
+            features = features.withColumn("_seen", seen).where("_seen")
         tiles = features.select("parent", *_point_columns())
     else:
-        tiles = _tiles(rows, res)
-    if bbox is not None:
-        west, south, east, north = bbox
-        seen = (
-            rows.where(
-                F.col("point.lng").between(west, east) & F.col("point.lat").between(south, north)
-            )
-            .select(_cell_column(min(res, FINEST)).alias("parent"))
-            .distinct()
-        )
-        tiles = tiles.join(seen, "parent", "left_semi")
-    return tiles.withColumn("parent", parent)
+        tiles = _tiles(rows, res, bbox)
+    return tiles.withColumn("parent", cell_hex("parent"))
 
 
 def to_features(features: DataFrame) -> DataFrame:

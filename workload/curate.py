@@ -427,13 +427,14 @@ def article_sections(spark, sf) -> DataFrame:
 _NOW = "2001-12-31 00:00:00"
 
 
-def _queue_sql(days: int, order: str, extra: str = "") -> str:
+def _queue_sql(days: int, extra: str = "") -> str:
     return (
         W(t.OFFENSES_SQL, t.LOCATIONS_SQL)
         + f"""SELECT o.db_id, o.location, count(*) AS offense_count, strftime(max(o.time), '%Y-%m-%d %H:%M') AS newest_offense_date,
       sum(CASE WHEN o.time >= TIMESTAMP '2001-12-31 00:00:00' - to_days({days}) THEN 1 ELSE 0 END)::BIGINT AS window_count
-    FROM offenses o LEFT JOIN locations l ON o.db_id = l.db_id AND o.location = l.location
-    WHERE o.location <> '' AND l.id IS NULL {extra} GROUP BY o.db_id, o.location ORDER BY {order}, o.location LIMIT 1000"""
+    FROM offenses o
+    WHERE o.location <> '' {extra} AND NOT EXISTS (SELECT 1 FROM locations l WHERE l.db_id = o.db_id AND l.location = o.location)
+    GROUP BY o.db_id, o.location"""
     )
 
 
@@ -442,17 +443,17 @@ def _queue(spark, sf, sort: str, db_id: int | None = None) -> DataFrame:
     return out.withColumn("newest_offense_date", F.date_format("newest_offense_date", "yyyy-MM-dd HH:mm"))
 
 
-@query("location_queue", _queue_sql(0, "count(*) DESC, max(o.time) DESC"))
+@query("location_queue", _queue_sql(0))
 def location_queue(spark, sf) -> DataFrame:
     return _queue(spark, sf, "frequency")
 
 
-@query("location_queue_recent", _queue_sql(30, "5 DESC, count(*) DESC, max(o.time) DESC"))
+@query("location_queue_recent", _queue_sql(30))
 def location_queue_recent(spark, sf) -> DataFrame:
     return _queue(spark, sf, "window_30")
 
 
-@query("location_queue_newest", _queue_sql(0, "max(o.time) DESC, 5 DESC, count(*) DESC", "AND o.db_id IN (2)"))
+@query("location_queue_newest", _queue_sql(0, "AND o.db_id IN (2)"))
 def location_queue_newest(spark, sf) -> DataFrame:
     return _queue(spark, sf, "newest", 2)
 
