@@ -31,7 +31,6 @@ FAMILIES: Mapping[str, str] = {
     **dict.fromkeys(("tr", "az", "kk"), "turkic"),
     **dict.fromkeys(("hi", "bn", "ur", "mr", "fa"), "indo-iranian"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 
 
@@ -40,7 +39,7 @@ def features(text: bytes | None, bits: int = FEATURE_BITS) -> np.ndarray | None:
     if not text:
         return None
     decoded = text.decode("utf-8", "replace").lower()
-    if not _LETTER.search(decoded):
+    if not any(map(str.isalpha, decoded)):  # Unicode's letters; neither numbers nor marks
         return None
     words = b" " + b" ".join(decoded.encode().translate(_BLANK).split()) + b" "
     raw = np.frombuffer(words, np.uint8).astype(np.uint32)

@@ -91,9 +91,13 @@ def mixing_rates(
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """The mix: each row as often as its source's rate says, with the input's columns."""
-    rated = mixing_rates(docs, **options)
+    """The mix: each row as often as its source's rate says, with the input's columns as they were, whatever their names."""
+    columns = docs.columns
+    named = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    read = [F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")]
+    rated = mixing_rates(named.select("*", *read), **options)
     repeated = rated.where("mix_copies > 0").withColumn(
         "mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
     )
-    return repeated.select(*[repeated[c] for c in docs.columns])
+    return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

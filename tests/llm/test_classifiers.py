@@ -226,3 +226,10 @@ def test_model_keeps_every_gram(spark):
     model = perplexity.fit_model(docs)
     assert len(model.grams[-1][0]) == sum(n > 1 for _, _, n in grams)
     assert len(model.contexts[-1][0]) == len({(lang, key >> 8) for lang, key, _ in grams})
+
+
+def test_numbers_and_marks_are_no_letters():
+    for text in ("² ½ ①", "\u0301 ٣ Ⅷ 12 _", "", None):
+        assert language_id.features(text and text.encode()) is None
+    for text in ("a", "ª", "ß", "語", "ʰ", "12 é"):
+        assert language_id.features(text.encode()) is not None
