@@ -169,8 +169,7 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group
     words. Rows with a NULL id keep all and repeat nothing.
     """
     rows = repeats.keyed(docs)
-    spans = repeated_passages(docs, width, gram, group_limit)
-    joined = rows.join(spans, ["doc_id", "t"], "left")
+    joined = repeats.with_spans(rows, repeated_passages(docs, width, gram, group_limit))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,4 +187,4 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return joined.select(F.col("id").alias("doc_id"), "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")

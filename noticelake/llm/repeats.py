@@ -20,6 +20,8 @@ from noticelake.llm.common import U64, sliding_min, stage, texts, window_hashes
 #: Different segments of a minimizer that are compared with each other; where there are more, their windows are dealt out
 #: one by one by a hash of 128 bits, which Spark groups with map-side combine.
 GROUP_LIMIT = 1_000
+#: Positions of the filters that keep rows without a partner out of the joins: 2**FILTER_BITS bits, whatever the corpus.
+FILTER_BITS = 24
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -173,11 +175,38 @@ def dealt(contents: DataFrame) -> DataFrame:
     return contents.repartition(n, "m").sortWithinPartitions("m")
 
 
+def marked(rows: DataFrame, keys: list[str], found: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` and ``maybe``: false only where no row of ``found`` has the same keys.
+
+    ``found`` is stored. Its keys' hashes set bits of a table of at most ``2**bits`` bits, which is broadcast.
+    """
+    at = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits)
+    table = found.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")
+    )
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8 + 1).cast("int")))
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(table), "_bucket", "left")
+    return joined.withColumn("maybe", F.coalesce(bit > 0, F.lit(False))).drop("_bucket", "_bits")
+
+
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``doc_id, text, spans`` of all rows; only rows that may have spans meet them, the others stay where they are."""
+    stored = stage(spans, "spans")
+    known = marked(rows, ["doc_id", "t"], stored)
+    kind = spans.schema["spans"].dataType
+    met = known.where("maybe").join(stored, ["doc_id", "t"], "left")
+    others = known.where("not maybe").withColumn("spans", F.lit(None).cast(kind))
+    return met.select("id", "text", "spans").unionByName(others.select("id", "text", "spans")).withColumnRenamed("id", "doc_id")
+
+
 def spans_by_row(found: DataFrame, segments: DataFrame, width: int, condition: str = "true") -> DataFrame:
     """``doc_id, t, spans``: from windows ``a`` up to ``b`` of segment kinds to the units they cover in each row."""
+    stored = stage(found, "found")
+    likely = marked(segments.select("doc_id", "t", "m", "h1", "h2", "start"), ["m", "h1", "h2"], stored).where("maybe").drop("maybe")
     return (
-        segments.select("doc_id", "t", "m", "h1", "h2", "start")
-        .join(found, ["m", "h1", "h2"])
+        likely.join(stored, ["m", "h1", "h2"])
         .where(condition)
         .groupBy("doc_id", "t")
         .agg(

@@ -237,8 +237,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     rows. NULL texts are empty. Equal rows repeat each other, as copies under different ids do, NULL ids too.
     """
     rows = repeats.keyed(docs)
-    spans = repeated_spans(docs, length, gram, group_limit)
-    joined = rows.join(spans, ["doc_id", "t"], "left")
+    joined = repeats.with_spans(rows, repeated_spans(docs, length, gram, group_limit))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return joined.select(F.col("id").alias("doc_id"), "text", "spans").mapInArrow(
+    return joined.mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 

@@ -4,7 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from noticelake.llm import phrase_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from noticelake.llm import phrase_dedup, repeats, suffix_dedup
 from noticelake.llm.common import merged, sliding_min, window_hashes
 
 
@@ -120,3 +122,34 @@ def test_segments_with_an_inner_repeat_meet_the_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = suffix_dedup.remove_repeats(docs, 400, 48, 1_000).collect()
     assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found) == want
+
+
+@pytest.mark.parametrize("bits", [4, 16, 24])
+def test_marks_never_miss(spark, bits):
+    rows = spark.range(5_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    found = rows.where("a % 10 = 3").unionByName(rows.where("a = 13"))
+    marked = repeats.marked(rows, ["a", "b"], found, bits)
+    assert marked.columns == ["a", "b", "maybe"] and marked.count() == 5_000
+    assert marked.where("a % 10 = 3 and not maybe").count() == 0
+    others = marked.where("a % 10 <> 3 and maybe").count()
+    assert others < 10 if bits == 24 else others > 0
+    assert repeats.marked(rows, ["a", "b"], found.limit(0), bits).where("maybe").count() == 0
+
+
+def test_planted_passages_show_and_clean_documents_stay(spark):
+    rng = random.Random(21)
+
+    def letters(k):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+
+    passage, rows = letters(420), []
+    for i in range(400):
+        rows.append((i, letters(900) + (passage if i % 8 == 0 else "") + letters(900)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("maybe", F.lit(True))
+    found = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert all(found[i] >= 420 if i % 8 == 0 else found[i] == 0 for i in range(400))
+    words = " ".join(letters(5).replace(" ", "q") for _ in range(60))
+    given = [(i, letters(500) + (f" {words} " if i % 8 == 0 else " ") + letters(500)) for i in range(400)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumn("t", F.lit(1)).withColumn("id", F.lit(2))
+    found = {r["doc_id"]: r["n_removed"] for r in phrase_dedup.remove_passages(docs).collect()}
+    assert all(found[i] == (60 if i % 8 == 0 and i else 0) for i in range(400))
