@@ -12,7 +12,7 @@ from noticelake.functions.cells import cell_hex
 from noticelake.operators import extract, html
 from noticelake.operators.predicates import apply_predicates
 from noticelake.plans.ingest import ingest
-from noticelake.sources import curation
+from noticelake.sources import curation, versions
 from noticelake.sources import documents as docs
 from noticelake.sources import offenses as src
 from noticelake.storage import shared_dir
@@ -399,6 +399,30 @@ def replace_in_partitions(spark, sf) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
 
+@query(
+    "replace_versioned",
+    t.with_tables(t.OFFENSES_SQL)
+    + """SELECT db_id, time_year, doc_source, record_id, vehicle FROM offenses
+    WHERE doc_source NOT IN (SELECT 'order/' || o_orderkey FROM orders WHERE o_totalprice > 480000)
+    UNION ALL SELECT 3, 1996, 'order/' || o_orderkey, 1, 'NEW' FROM orders WHERE o_totalprice > 499000""",
+)
+def replace_versioned(spark, sf) -> DataFrame:
+    """Dear orders are replaced, very dear ones by a row each, in two batches of which the first is folded."""
+    path, columns = _fresh(spark, "versions"), ["db_id", "time_year", "doc_source", "record_id", "vehicle"]
+    stored = t.offenses(spark, sf).select(*columns)
+    versions.replace_versioned(path, stored)
+    dear = t.table(spark, sf, "orders").where("o_totalprice > 480000").select(
+        F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("doc_source"), "o_totalprice"
+    )
+    versions.replace_versioned(path, stored.limit(0), dear)
+    versions.fold(spark, path, stored.schema, grace=0)
+    incoming = dear.where("o_totalprice > 499000").select(
+        F.lit(3).alias("db_id"), F.lit(1996).alias("time_year"), "doc_source", F.lit(1).cast("long").alias("record_id"), F.lit("NEW").alias("vehicle")
+    )
+    versions.replace_versioned(path, incoming)
+    return versions.read_versioned(spark, path, stored.schema)
+
+
 @query(
     "curation_bundle",
     t.with_tables(t.LOCATIONS_SQL, t.ARTICLES_SQL, t.DESCRIPTIONS_SQL)
