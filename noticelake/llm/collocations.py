@@ -28,7 +28,7 @@ SHARE = 50
 TOP = 2_000
 #: Words of a block, and different words a task remembers: what bounds a task's memory.
 BLOCK_WORDS = 1 << 20
-BLOCK_KINDS = 1 << 19
+BLOCK_KINDS = 300_000
 #: Bits of one broadcast bitmap at most (64 MB), and bits per survivor.
 MOST_BITS = 1 << 29
 BITS_EACH = 24
@@ -139,9 +139,15 @@ def _summarise(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            found = [h for _, _, h in block.grams()]
-            part, key = _place(np.concatenate(found or [np.empty(0, U64)]), parts)
-            both = np.sort(part << U64(32) | key)
+            found = []
+            for _, _, h in block.grams():
+                part, key = _place(h, parts)
+                part <<= U64(32)
+                part |= key
+                found.append(part)
+            both = np.concatenate(found or [np.empty(0, U64)])
+            del found
+            both.sort()
             if not len(both):
                 continue
             first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
