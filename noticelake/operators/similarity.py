@@ -1,30 +1,32 @@
 """Suggestions of articles for descriptions, by bag-of-words cosine.
 
-Texts are never compared pair by pair. Words are put in one fixed order, longest first, so that the usual stop words come
-last. A pair reaching the threshold must share a word among the first ones of both texts: those that must be passed
-before the remaining words alone could no longer reach it. Only such pairs are scored, and their score uses every word.
+Texts are never compared pair by pair. Words are put in one fixed order, rarest among the articles first. The first word two texts
+share bounds their score: its own product, the exact products of the ``HOT_WORDS`` commonest words, which each text carries along
+as columns, and for the words between the norms they leave on either side (Cauchy-Schwarz). A pair becomes a candidate where that
+bound reaches the threshold; only candidates are scored, on all their words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions.text import description_parts, fold, tokens, trim_space
 
+#: Words whose products are summed exactly before a pair is a candidate: the commonest among the articles.
+HOT_WORDS = 32
+# Slack for rounding.
+_SLACK = 1 - 1e-9
 
-def _vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(key, runs array<struct(token, count)>, norm2, heads) per text that has words.
 
-    All inside the row, without a shuffle: sort the words, measure the runs of equal ones. The first ``heads`` runs are the
-    words needed to find every pair that reaches the threshold. Runs are always unnested by an outer explode: a plain one
-    makes the optimizer add a size filter, which it would push down and compute inside every lambda. For the same reason
-    ``norm2`` is never NULL.
+def _vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, norm2, token, count) per different word of a text.
+
+    Counted inside the row, without a shuffle: sort the words, measure the runs of equal ones. Runs are unnested by an outer
+    explode: a plain one makes the optimizer add a size filter, which it would push down and compute inside every lambda. For the
+    same reason ``norm2`` is never NULL.
     """
-    ordered = F.sort_array(
-        F.transform(tokens(text), lambda w: F.struct((-F.length(w)).alias("order"), w.alias("token")))
-    )
-    words = df.select(key, ordered.alias("_words"))
+    words = df.select(key, F.sort_array(tokens(text)).alias("_words"))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("_words")),
         lambda i: (i == 1) | ((i > 1) & (F.get("_words", i - 1) != F.get("_words", i - 2))),
@@ -33,7 +35,7 @@ def _vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     runs = F.transform(
         "_starts",
         lambda s, i: F.struct(
-            F.get("_words", s - 1)["token"].alias("token"),
+            F.get("_words", s - 1).alias("token"),
             (F.coalesce(F.get("_starts", i + 1), F.size("_words") + 1) - s).cast("long").alias("count"),
         ),
     )
@@ -41,21 +43,71 @@ def _vectors(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     measured = started.select(key, runs.alias("runs")).withColumn(
         "norm2", F.coalesce(F.aggregate("runs", zero, lambda acc, r: acc + r["count"] * r["count"]), zero)
     )
-    # A word is a head while it and the words after it could still reach the threshold (slack for rounding).
-    enough = F.col("norm2") * F.lit(threshold * threshold * (1 - 1e-9))
-    heads = F.aggregate(
-        "runs",
-        F.struct(zero.alias("before"), F.lit(0).alias("heads")),
-        lambda acc, r: F.struct(
-            (acc["before"] + r["count"] * r["count"]).alias("before"),
-            (acc["heads"] + F.when(F.col("norm2") - acc["before"] >= enough, 1).otherwise(0)).alias("heads"),
-        ),
-    )["heads"]
-    return measured.withColumn("heads", heads)
+    return measured.select(key, "norm2", F.explode_outer("runs").alias("_w")).select(key, "norm2", "_w.token", "_w.count")
+
+
+def _word_order(words: DataFrame, hot_words: int) -> DataFrame:
+    """(token, df, hot): in how many articles a word is; its rank from 0, commonest first, among the ``hot_words`` commonest."""
+    known = words.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    top = known.orderBy(F.col("df").desc(), F.col("token").desc()).limit(hot_words)
+    listed = top.agg(F.reverse(F.sort_array(F.collect_list(F.struct("df", "token")))).alias("_t"))
+    ranks = listed.select(F.posexplode("_t").alias("hot", "_w")).select(F.col("_w.token").alias("token"), "hot")
+    return known.join(ranks, "token", "left")
+
+
+def _heads(words: DataFrame, key: str, order: DataFrame, threshold: float, hot_words: int, side: str) -> DataFrame:
+    """Words that can be the first one shared with a text scoring ``threshold``, with what bounds such a score.
+
+    Per word its ``count``, the squared norm ``between`` it and the hot words, and the counts ``0 … hot_words - 1`` of the text's
+    hot words; all names but the token's begin with ``side``. Words in no article are out: they are in the norm only.
+    """
+    later = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    square = F.col("count") * F.col("count")
+    found = words.join(order, "token").withColumns(
+        {
+            "_after": F.coalesce(F.sum(square).over(later), F.lit(0)),
+            "_between": F.coalesce(F.sum(F.when(F.col("hot").isNull(), square)).over(later), F.lit(0)),
+        }
+    )
+    text = Window.partitionBy(key)
+    counts = {
+        f"{side}{i}": F.coalesce(F.max(F.when(F.col("hot") == i, F.col("count"))).over(text), F.lit(0)).cast("int")
+        for i in range(hot_words)
+    }
+    reaches = square + F.col("_after") >= F.col("norm2") * F.lit(threshold * threshold * _SLACK)
+    return (
+        found.withColumns(counts)
+        .where(reaches)
+        .select(
+            "token",
+            F.col(key),
+            F.col("hot").alias(f"{side}hot"),
+            F.col("norm2").alias(f"{side}norm2"),
+            F.col("count").alias(f"{side}count"),
+            F.col("_between").alias(f"{side}between"),
+            *counts,
+        )
+    )
 
 
-def _head_words(vectors: DataFrame, key: str) -> DataFrame:
-    return vectors.select(key, F.explode_outer(F.slice("runs", F.lit(1), F.col("heads"))["token"]).alias("token"))
+def cosine_candidates(left: DataFrame, right: DataFrame, threshold: float, hot_words: int = HOT_WORDS) -> DataFrame:
+    """Different (_l, _r) that may reach the threshold, from the words (key, norm2, token, count) of both sides.
+
+    The pair's first shared word passes the bound whenever the pair's score does: no later word is left out of it. Where that word
+    is hot, the bound is the score itself. Nothing else is gathered for a common word than the rows of the join.
+    """
+    order = _word_order(right, hot_words)
+    a = _heads(left, "_l", order, threshold, hot_words, "_a")
+    b = _heads(right, "_r", order, threshold, hot_words, "_b")
+    rank = F.coalesce("_ahot", F.lit(hot_words))
+    bound = F.when(
+        F.col("_ahot").isNull(),
+        F.col("_acount") * F.col("_bcount") + F.sqrt(F.col("_abetween").cast("double") * F.col("_bbetween")),
+    ).otherwise(F.lit(0.0))
+    for i in range(hot_words):
+        bound = bound + F.when(rank >= i, F.col(f"_a{i}").cast("long") * F.col(f"_b{i}")).otherwise(F.lit(0))
+    enough = F.sqrt(F.col("_anorm2").cast("double") * F.col("_bnorm2")) * F.lit(threshold * _SLACK)
+    return a.join(b, "token").where(bound >= enough).select("_l", "_r").distinct()
 
 
 def cosine_matches(
@@ -73,21 +125,13 @@ def cosine_matches(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    left = _vectors(texts.select(F.col(key).alias("_l"), F.col(text).alias("_t")), "_l", "_t", threshold)
-    right = _vectors(
-        articles.select(F.col(article_key).alias("_r"), F.col(article_text).alias("_t")), "_r", "_t", threshold
-    )
-    candidates = (
-        _head_words(left, "_l").join(_head_words(right, "_r"), "token").select("_l", "_r").distinct()
-    )
+    left = _vectors(texts.select(F.col(key).alias("_l"), F.col(text).alias("_t")), "_l", "_t")
+    right = _vectors(articles.select(F.col(article_key).alias("_r"), F.col(article_text).alias("_t")), "_r", "_t")
+    candidates = cosine_candidates(left, right, threshold)
     # Score candidates over all their shared words: each brings the words of its article, the shorter side, and looks
     # their counts up in the text by (text, word), a key no text or word can make hot.
-    entries = right.select("_r", F.col("norm2").alias("_rn"), F.explode_outer("runs").alias("_w")).select(
-        "_r", "_rn", "_w.token", F.col("_w.count").alias("_rc")
-    )
-    words = left.select("_l", F.col("norm2").alias("_ln"), F.explode_outer("runs").alias("_w")).select(
-        "_l", "_ln", "_w.token", F.col("_w.count").alias("_lc")
-    )
+    entries = right.select("_r", F.col("norm2").alias("_rn"), "token", F.col("count").alias("_rc"))
+    words = left.select("_l", F.col("norm2").alias("_ln"), "token", F.col("count").alias("_lc"))
     scored = (
         candidates.join(entries, "_r")
         .join(words, ["_l", "token"])

@@ -83,6 +83,16 @@ def test_cosine_equals_brute_force(spark, threshold):
     assert {(r["id"], r["article_id"]): round(r["score"], 9) for r in got} == want
 
 
+def test_cosine_candidates_are_few(spark):
+    sf = "/root/testdata/sf0.01"
+    sides = [
+        similarity._vectors(spark.read.parquet(f"{sf}/{name}.parquet").select(F.col(key).alias(own), "text"), own, "text")
+        for name, key, own in (("documents", "doc_id", "_l"), ("benchmark", "item_id", "_r"))
+    ]
+    # 2,657 of the 40,000 pairs reach the threshold; each must be among less than three times as many candidates.
+    assert 2657 <= similarity.cosine_candidates(*sides, 0.5).count() < 3 * 2657
+
+
 def test_article_search(spark):
     arts = articles(spark, {"1": "alpha beta", "2": "alpha", "3": "gamma"})
     assert [r["id"] for r in similarity.search_articles(arts, "beta: alpha").collect()] == ["1", "2"]
