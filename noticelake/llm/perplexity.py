@@ -4,8 +4,8 @@ The model predicts each byte of a text from the four before it, every stretch of
 word to word; those of each language are apart. Counts cover every text from its first byte to its last. Orders are sorted arrays
 of n-gram hashes of ``ID_BITS`` bits, so the model grows with the different n-grams of the corpus.
 
-A text is cut into parts, so that a task scores or counts an equal part once: the head of each word, which is its first bytes with
-those that stand before it, and the rest of the word. Each n-gram of the text lies in one part.
+Texts are counted and scored in blocks of ``_BLOCK`` bytes, whose n-grams are sorted, so that each different one is met once; long
+texts are cut into pieces that overlap by a context.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +36,9 @@ BAND_LEAST = 0.1
 BAND_SHORT = 20
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
-_FLUSH = 400_000
-#: Bytes before a word that its head holds, and bytes of the word in its head.
-_HEAD = ORDER - 1
+#: Bytes of text whose n-grams are sorted at a time.
+_BLOCK = 4_000_000
+_CONTEXT = ORDER - 1
 
 
 def language_seed(lang: str | None) -> int:
@@ -48,35 +47,26 @@ def language_seed(lang: str | None) -> int:
     return xxh3_64_intdigest((lang or "").encode())
 
 
-def text_parts(words: list[bytes]) -> list[bytes]:
-    """A text's heads and long words. A head may run into the next word; :func:`part_grams` ends it with its own."""
-    joined = b" " * _HEAD + b" ".join(words) + b" "
-    starts = accumulate([len(w) + 1 for w in words[:-1]], initial=_HEAD)
-    parts = [joined[at - _HEAD : at + _HEAD] for at in starts]
-    parts += [w for w in words if len(w) >= _HEAD]
-    return parts
+def text_pieces(words: list[bytes]) -> list[bytes]:
+    """A text with single blanks, a context of blanks ahead and one behind, in pieces that share no n-gram and leave none out."""
+    joined = b" " * _CONTEXT + b" ".join(words) + b" "
+    return [joined[i : i + _BLOCK + _CONTEXT] for i in range(0, len(joined) - _CONTEXT, _BLOCK)] if words else []
 
 
-def part_grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of ``ORDER`` bytes that end in each byte of a part's word and in its closing blank; and how many per part.
-
-    A head has the blank before its word in it, a long word has none.
-    """
-    ended = [
-        p + b" " if p[_HEAD - 1] != 32 else p if (end := p.find(b" ", _HEAD)) < 0 else p[: end + 1]
-        for p in parts
-    ]
-    raw = np.frombuffer(b"".join(ended), np.uint8).astype(U64)
-    sizes = np.fromiter(map(len, ended), np.int64, len(ended))
-    n = len(raw) - ORDER + 1
+def piece_grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of ``ORDER`` bytes of each piece; and how many per piece."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8).astype(U64)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    n = len(raw) - _CONTEXT
     keys = np.zeros(n, U64)
     for i in range(ORDER):
         keys = keys << U64(8) | raw[i : i + n]
-    # Drop the positions whose n-gram would reach into the next part.
-    per_part = sizes - ORDER + 1
-    starts = np.cumsum(sizes) - sizes
-    valid = np.repeat(starts - (np.cumsum(per_part) - per_part), per_part) + np.arange(per_part.sum())
-    return keys[valid], per_part
+    # Drop the positions whose n-gram would reach into the next piece.
+    inside = np.ones(n, bool)
+    ends = np.cumsum(sizes)[:-1]
+    for i in range(1, ORDER):
+        inside[ends - i] = False
+    return keys[inside], sizes - _CONTEXT
 
 
 def gram_ids(keys: np.ndarray, order: int, seeds: np.ndarray | int, bits: int) -> np.ndarray:
@@ -89,34 +79,28 @@ def gram_ids(keys: np.ndarray, order: int, seeds: np.ndarray | int, bits: int) -
 def gram_counts(docs: DataFrame) -> DataFrame:
     """``lang, key, n``: how often each n-gram of the highest order occurs, over all texts. NULL languages are one."""
 
-    def flush(lang: str, counts: Counter) -> pa.RecordBatch:
-        keys, per_part = part_grams(list(counts))
-        n = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), per_part)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    def flush(lang: str, pieces: list[bytes]) -> pa.RecordBatch:
+        keys, n = np.unique(piece_grams(pieces)[0], return_counts=True)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(first), pa.string()),
-                pa.array(keys[first].astype(np.int64), pa.int64()),
-                pa.array(np.add.reduceat(n, first), pa.int64()),
-            ],
+            [pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))],
             names=["lang", "key", "n"],
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        held: dict[str, list[bytes]] = {}
+        sizes: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
-                if words := (text or b"").split():
-                    counts = held.setdefault(lang, Counter())
-                    counts.update(text_parts(words))
-                    if len(counts) > _FLUSH:
+                for piece in text_pieces((text or b"").split()):
+                    held.setdefault(lang, []).append(piece)
+                    sizes[lang] += len(piece)
+                    if sizes[lang] >= _BLOCK:
+                        del sizes[lang]
                         yield flush(lang, held.pop(lang))
-                    elif len(held) > 64:  # languages by the thousand: none is kept waiting
-                        yield from (flush(k, c) for k, c in held.items() if c)
-                        held = {}
-        yield from (flush(k, c) for k, c in held.items() if c)
+                if len(held) > 64:  # languages by the thousand: none is kept waiting
+                    yield from (flush(k, p) for k, p in held.items())
+                    held, sizes = {}, Counter()
+        yield from (flush(k, p) for k, p in held.items())
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
     return rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -139,10 +123,10 @@ class NgramModel:
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
 
-    def log_probabilities(self, parts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sum over the n-grams of each part, and how many those are."""
-        met, per_part = part_grams(parts)
-        # Parts share most of their n-grams, so each is looked up once.
+    def log_probabilities(self, pieces: list[bytes], seed: int) -> np.ndarray:
+        """Sum over the n-grams of each piece."""
+        met, per_piece = piece_grams(pieces)
+        # Pieces share most of their n-grams, so each is looked up once.
         keys, which = np.unique(met, return_inverse=True)
         total = np.zeros(len(keys))
         open_ = np.arange(len(keys))
@@ -156,7 +140,7 @@ class NgramModel:
             hit, at = _find(ids, gram_ids(own >> U64(8), order - 1, seed, self.bits))
             total[open_[hit]] += values[at[hit]]
         total[open_] += np.log(1 / 256)
-        return np.add.reduceat(total[which], np.concatenate(([0], np.cumsum(per_part)[:-1]))), per_part
+        return np.add.reduceat(total[which], np.cumsum(per_piece) - per_piece)
 
 
 def _find(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,19 +248,20 @@ def base_statistics(text: bytes | None, hashes: WordHashes) -> tuple[int, int, i
     )
 
 
-class PartScores(dict):
-    """Log probability of parts of texts of a language, found for all new parts of a batch at once."""
-
-    def __init__(self, model: NgramModel, seed: int, limit: int = 300_000):
-        super().__init__()
-        self.model, self.seed, self.limit = model, seed, limit
-
-    def learn(self, documents: list[list[bytes]]) -> None:
-        if len(self) > self.limit:
-            self.clear()
-        new = list({p for parts in documents for p in parts if p not in self})
-        if new:
-            self.update(zip(new, self.model.log_probabilities(new, self.seed)[0].tolist(), strict=True))
+def text_scores(model: NgramModel, seed: int, documents: list[list[bytes]]) -> list[float]:
+    """Log probability of each text of a language, given as its pieces, in blocks."""
+    total, block, owners, size = np.zeros(len(documents)), [], [], 0
+    for at, pieces in enumerate(documents):
+        for piece in pieces:
+            block.append(piece)
+            owners.append(at)
+            size += len(piece)
+            if size >= _BLOCK:
+                np.add.at(total, owners, model.log_probabilities(block, seed))
+                block, owners, size = [], [], 0
+    if block:
+        np.add.at(total, owners, model.log_probabilities(block, seed))
+    return total.tolist()
 
 
 def score_documents(docs: DataFrame, model: NgramModel) -> DataFrame:
@@ -287,24 +272,24 @@ def score_documents(docs: DataFrame, model: NgramModel) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, scores = WordHashes(), {}
+        hashes = WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                langs = batch.column("lang").to_pylist()
-                found = [base_statistics(t, hashes) for t in texts(batch)]
-                parts = [text_parts(f[5]) if f[5] else [] for f in found]
-                by_lang: dict[str, list[list[bytes]]] = {}
-                for lang, own in zip(langs, parts, strict=True):
-                    by_lang.setdefault(lang, []).append(own)
-                if len(scores) > 64:
-                    scores = {}
-                for lang, lists in by_lang.items():
-                    scores.setdefault(lang, PartScores(model, language_seed(lang))).learn(lists)
-                rated = [
-                    -sum(map(scores[lang].__getitem__, own)) / (sum(map(len, f[5])) + len(f[5])) if own else None
-                    for lang, f, own in zip(langs, found, parts, strict=True)
-                ]
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                found, by_lang = [], {}
+                for at, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), texts(batch), strict=True)):
+                    *numbers, words = base_statistics(text, hashes)
+                    found.append(numbers)
+                    if words:
+                        own = by_lang.setdefault(lang, ([], []))
+                        own[0].append(at)
+                        own[1].append(text_pieces(words))
+                rated: list[float | None] = [None] * batch.num_rows
+                for lang, (places, documents) in by_lang.items():
+                    for at, pieces, total in zip(
+                        places, documents, text_scores(model, language_seed(lang), documents), strict=True
+                    ):
+                        rated[at] = -total / sum(len(p) - _CONTEXT for p in pieces)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
