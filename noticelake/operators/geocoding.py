@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions.h3 import with_h3_cells
@@ -47,12 +47,16 @@ def radar_markers(radars: DataFrame) -> DataFrame:
     )
 
 
+# Layout of the number that ranks a radar: kind of match, then distance, then its place among the radars of its kilometre.
+_GAP_BITS, _PLACE_BITS = 22, 31
+
+
 def match_radars(locations: DataFrame, radars: DataFrame, column: str = "location") -> DataFrame:
     """(location, route, marker, direction, progresiva, descrip, point, match) of distinct road texts with a radar.
 
     The radar with this very marker wins ("exact"), then one listing it among several ("listed"), then the nearest on the
-    same route and kilometre under 1 km away ("near"), ties by marker. One equi-join on (route, km) and one aggregation
-    that keeps the best radar map-side, so a busy kilometre is not gathered anywhere.
+    same route and kilometre under 1 km away ("near"), ties by marker. One equi-join on (route, km); what ranks a radar is one
+    number, so a hash aggregate keeps the least map-side, and the radar it names is joined back.
     """
     texts = locations.select(F.col(column).alias("location")).where(F.col("location").isNotNull()).distinct()
     # Join keys are never NULL, or the optimizer would parse every text once more to drop those that are.
@@ -65,37 +69,39 @@ def match_radars(locations: DataFrame, radars: DataFrame, column: str = "locatio
         marker_km(F.col("_r.marker")).alias("km"),
         marker_metres(F.col("_r.marker")).alias("_m"),
     )
-    pairs = wanted.join(radar_markers(radars), ["route", "km"])
+    # A kilometre of a route has few markers, so the window's groups are small; equal rows may take either place.
+    within = Window.partitionBy("route", "km").orderBy("marker", "progresiva", "descrip", "point")
+    markers = (
+        radar_markers(radars)
+        .withColumn("descrip", F.coalesce("descrip", F.lit("")))
+        .withColumn("_place", F.row_number().over(within).cast("long"))
+    )
+    pairs = wanted.join(markers.select("route", "km", "metres", "marker", "progresiva", "_place"), ["route", "km"])
     gap = F.abs(F.col("metres") - F.col("_m"))
     rank = (
         F.when(F.col("progresiva") == F.col("wanted"), 0).when(F.col("marker") == F.col("wanted"), 1).otherwise(2)
     )
+    packed = (
+        F.shiftleft(rank.cast("long"), _GAP_BITS + _PLACE_BITS)
+        .bitwiseOR(F.shiftleft(gap.cast("long"), _PLACE_BITS))
+        .bitwiseOR(F.col("_place"))
+    )
     best = (
         pairs.where((gap < MAX_MARKER_METRES) | (rank < 2))
-        .groupBy("location", "route", "wanted", "direction")
-        .agg(
-            F.min(
-                F.struct(
-                    rank.alias("rank"),
-                    gap.alias("gap"),
-                    "marker",
-                    "progresiva",
-                    F.coalesce("descrip", F.lit("")).alias("descrip"),
-                    "point",
-                )
-            ).alias("b")
-        )
+        .groupBy("location", "route", "km", "wanted", "direction")
+        .agg(F.min(packed).alias("_best"))
     )
     kind = F.array(F.lit("exact"), F.lit("listed"), F.lit("near"))
-    return best.select(
+    named = best.withColumn("_place", F.col("_best").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1).cast("long")))
+    return named.join(markers.drop("marker", "metres"), ["route", "km", "_place"]).select(
         "location",
         "route",
         F.col("wanted").alias("marker"),
         "direction",
-        "b.progresiva",
-        "b.descrip",
-        "b.point",
-        F.get(kind, F.col("b.rank")).alias("match"),
+        "progresiva",
+        "descrip",
+        "point",
+        F.get(kind, F.shiftright("_best", _GAP_BITS + _PLACE_BITS).cast("int")).alias("match"),
     )
 
 

@@ -151,6 +151,40 @@ def test_radars(spark):
     }
 
 
+def test_radars_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):  # three routes, four kilometres, repeated markers, and lists of two
+        km, first, second = rng.randrange(4), rng.randrange(0, 1000, 50), rng.randrange(0, 1000, 50)
+        listed = f"/{km}k{second:03d}" if i % 3 == 0 else ""
+        place_ = (rng.randrange(3), f"{km}k{first:03d}{listed}", "g", rng.choice([None, "a", "b"]), (float(i % 7), 1.0))
+        rows += [place_] * (1 + (i % 50 == 0))
+    rows.append((1, None, "g", "no marker", (0.0, 0.0)))
+    asked = [(r, k, m) for r in range(4) for k in range(5) for m in range(0, 1000, 25)]
+    texts = spark.createDataFrame([(f"Ruta {r} y {k:03d}K{m:03d}",) for r, k, m in asked] + [(None,), ("",)], "location string")
+    best = {}
+    for r, k, m in asked:
+        for route, listed, _, name, at in rows:
+            for marker in (listed or "").split("/") if listed else ():
+                km, metres = (int(x) for x in marker.split("k"))
+                if (route, km) == (r, k):
+                    own = f"{k}k{m:03d}"
+                    rank = 0 if listed == own else 1 if marker == own else 2
+                    found = (rank, abs(metres - m), marker, listed, name or "", at)
+                    best[r, k, m] = min(best.get((r, k, m), found), found)
+    expected = {
+        f"Ruta {r} y {k:03d}K{m:03d}": (listed, name, at, ("exact", "listed", "near")[rank])
+        for (r, k, m), (rank, _, _, listed, name, at) in best.items()
+    }
+    matched = geocoding.match_radars(texts, spark.createDataFrame(rows, RADARS))
+    got = matched.collect()
+    assert len(got) == len(expected) > 400
+    assert {x["location"]: (x["progresiva"], x["descrip"], tuple(x["point"]), x["match"]) for x in got} == expected
+    plan = matched._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
+    assert geocoding.match_radars(texts.limit(0), spark.createDataFrame([], RADARS)).count() == 0
+
+
 def place(i, lat, lng):
     values = {"id": i, "db_id": 1, "location": f"L{i:04d}", "point": (lng, lat)}
     return tuple(values.get(f.name) for f in LOCATIONS.fields)
