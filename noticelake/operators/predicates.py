@@ -67,7 +67,9 @@ def predicate(dim: str, values: Sequence[str]) -> Column | None:
         parts = [column.isNull()] if len(named) < len(typed) else []
         return _any(parts + ([column.isin(*named)] if named else []))
     if dim == "date":
-        return column.isin(*[F.lit(v).try_cast("date") for v in typed])
+        # Ranges of the stored column, which reach the files' statistics; a cast of it would not.
+        days, stored = [F.lit(v).try_cast("date") for v in typed], F.col(DIMENSION_COLUMNS[dim])
+        return _any((stored >= day) & (stored < F.date_add(day, 1)) for day in days)
     return column.isin(*typed) if typed else F.lit(False)
 
 

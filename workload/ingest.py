@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.functions import amounts, times
+from noticelake.functions import amounts, h3, times
 from noticelake.functions.cells import cell_hex
 from noticelake.operators import extract, html
 from noticelake.operators.predicates import apply_predicates
 from noticelake.plans.ingest import ingest
-from noticelake.sources import curation, versions
+from noticelake.sources import curation, layout, versions
 from noticelake.sources import documents as docs
 from noticelake.sources import offenses as src
 from noticelake.storage import shared_dir
@@ -377,6 +378,28 @@ def partitioned_scan(spark, sf) -> DataFrame:
     )
 
 
+def _literal_cell(lng: float, lat: float, res: int) -> int:
+    return int(h3.cells_of(np.array([lng]), np.array([lat]), res)[0])
+
+
+_CELLS = [_literal_cell(-55.0, -33.4, 3), _literal_cell(-57.0, -33.0, 3)]
+
+
+@query(
+    "clustered_scan",
+    t.with_tables(t.OFFENSES_SQL)
+    + f"""SELECT doc_source, record_id, vehicle, printf('%x', h3_res8) AS cell FROM offenses
+    WHERE h3_res3 IN ({_CELLS[0]}, {_CELLS[1]}) AND time >= TIMESTAMP '1996-03-01' AND time < TIMESTAMP '1996-07-01'""",
+)
+def clustered_scan(spark, sf) -> DataFrame:
+    """Two cells of the map in four months, from a copy laid out along the curve."""
+    path = _fresh(spark, "clustered")
+    layout.write_clustered(t.offenses(spark, sf), path, partitions=())
+    inside = F.col("h3_res3").isin(_CELLS) & (F.col("time") >= "1996-03-01") & (F.col("time") < "1996-07-01")
+    found = src.read_offenses(spark, path, t.STORED_SCHEMA).where(inside)
+    return found.select("doc_source", "record_id", "vehicle", cell_hex("h3_res8").alias("cell"))
+
+
 @query(
     "replace_in_partitions",
     t.with_tables(t.OFFENSES_SQL)
