@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import codecs
+import re
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ def read_documents(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html*")
     source = F.input_file_name()
     if encoding.lower() != "utf-8":
-        raise ValueError("whole documents are read as UTF-8; use read_encoded_documents")
+        raise ValueError("whole documents are read as UTF-8; use read_stored_documents")
     return _keyed(rows.select(source.alias("path"), F.col("value").alias("html")))
 
 
@@ -50,11 +54,79 @@ def read_encoded_documents(spark: SparkSession, path: str, encoding: str = "ISO-
     return _keyed(files.select("path", F.decode("content", encoding).alias("html")))
 
 
-def _keyed(files: DataFrame) -> DataFrame:
+# How pages state their charset, and in how many of their first bytes (fixed values).
+_DECLARED = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:\-]+)""", re.IGNORECASE)
+_DECLARED_WITHIN = 1024
+_MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+# Charsets that pages of this name really use (fixed values).
+_MEANT = {"iso8859-1": "cp1252", "ascii": "cp1252"}
+# End of fixed values.
+
+
+def unpacked(content: bytes) -> bytes | None:
+    """The content, decompressed when it is gzip of one or several members; NULL when it is cut short or damaged."""
+    whole = []
+    while content.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            whole.append(member.decompress(content))
+        except zlib.error:
+            return None
+        if not member.eof:
+            return None
+        content = member.unused_data
+        if not content.strip(b"\0"):
+            return b"".join(whole)
+    return content if not whole else None
+
+
+def decoded(content: bytes, charset: str | None = None) -> tuple[str, str]:
+    """Text and the charset it was read by: the given one, a byte order mark's, the page's own, UTF-8, or windows-1252.
+
+    The first that fits every byte; bytes no charset has are kept as ISO-8859-1 reads them.
+    """
+    stated = _DECLARED.search(content[:_DECLARED_WITHIN])
+    marked = next((name for mark, name in _MARKS if content.startswith(mark)), None)
+    for name in (charset, marked, stated and stated[1].decode("ascii"), "utf-8", "cp1252"):
+        try:
+            known = codecs.lookup(name).name if name else None
+            if known:
+                known = _MEANT.get(known, known)
+                return codecs.decode(content, known), known
+        except (LookupError, UnicodeError):
+            continue
+    return content.decode("latin-1"), "iso8859-1"
+
+
+def read_stored_documents(
+    spark: SparkSession, path: str, charset: str | None = None, files: str = "*.html*"
+) -> DataFrame:
+    """As :func:`read_documents`, plain or gzip told by content, with ``charset``: each document in a charset of its own.
+
+    ``charset`` given is tried first. A damaged gzip file is a row with NULL ``html`` and ``charset``; a file
+    of no bytes is no row, as Spark passes over those.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, content in enumerate(batch.column("content")):  # one document in memory at a time
+                raw = unpacked(content.as_py())
+                html, name = (None, None) if raw is None else decoded(raw, charset)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("path").slice(at, 1), pa.array([html], pa.string()), pa.array([name], pa.string())],
+                    names=["path", "html", "charset"],
+                )
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
+    rows = found.select("path", "content").mapInArrow(read, "path string, html string, charset string")
+    return _keyed(rows, "charset")
+
+
+def _keyed(files: DataFrame, *more: str) -> DataFrame:
     part = {n: F.regexp_extract("path", _PATH, i) for i, n in enumerate(("database", "kind", "year", "number"), 1)}
     return files.select(
         "path", part["database"].alias("database"), part["kind"].alias("kind"), part["year"].try_cast("int").alias("year"),
-        part["number"].alias("number"), "html",
+        part["number"].alias("number"), "html", *more,
     )
 
 
