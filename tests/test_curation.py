@@ -93,6 +93,18 @@ def test_cosine_candidates_are_few(spark):
     assert 2657 <= similarity.cosine_candidates(*sides, 0.5).count() < 3 * 2657
 
 
+def test_cosine_shuffles_no_word(spark):
+    left = spark.createDataFrame([(i, f"word{i % 7} and word{i % 5}") for i in range(60)], "id int, text string")
+    right = spark.createDataFrame([(i, f"word{i}") for i in range(7)], "id int, text string")
+    got = similarity.cosine_matches(left.repartition(3, "id"), right, 0.4, key="id", text="text")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    # More articles than are summed in place: candidates give the same rows.
+    rest = similarity.cosine_matches(left, right, 0.4, key="id", text="text", summed_words=3)
+    rows = [sorted((r["id"], r["article_id"], round(r["score"], 9)) for r in df.collect()) for df in (got, rest)]
+    assert rows[0] == rows[1] != []
+
+
 def test_article_search(spark):
     arts = articles(spark, {"1": "alpha beta", "2": "alpha", "3": "gamma"})
     assert [r["id"] for r in similarity.search_articles(arts, "beta: alpha").collect()] == ["1", "2"]
