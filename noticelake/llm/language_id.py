@@ -21,6 +21,8 @@ from noticelake.llm.common import schema_with, texts
 UNKNOWN = "und"
 #: Texts a language is fitted on at most; a fixed bound, so the fit does not grow with the input.
 SAMPLE = 600
+#: Score from which a language is known: more likely than all others together.
+KNOWN = 0.5
 FEATURE_BITS = 12
 #: Families of languages; a language that is not listed is a family of its own.
 FAMILIES: Mapping[str, str] = {
@@ -195,7 +197,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_known_languages(docs: DataFrame, min_score: float = 0.0, sample: int = SAMPLE) -> DataFrame:
+def keep_known_languages(docs: DataFrame, min_score: float = KNOWN, sample: int = SAMPLE) -> DataFrame:
     """The rows whose language is known, with the input's columns: no letters, or a lower score, and a row goes.
 
     The model is fitted on the labelled rows that are not held out. If no row has a label, all with a letter stay.

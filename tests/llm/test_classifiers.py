@@ -37,6 +37,15 @@ def test_language_edge_cases(spark, docs, rows, no_docs):
     assert language_id.keep_known_languages(no_docs).count() == 0
 
 
+def test_unsure_languages_are_not_known(spark):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    odd = [(-i, t, None) for i, t in enumerate(("Привет мир", "漢字", "日本語 中文", "xkcd", "wvw wvw"), 1)]
+    both = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in language_id.keep_known_languages(both).collect()}
+    labelled = {r["doc_id"] for r in docs.where("lang is not null and text rlike '[[:alpha:]]'").collect()}
+    assert min(kept) >= 0 and len(kept) > 0.99 * len(labelled)
+
+
 def split_url(url):
     if url is None or "://" not in url:
         return "", ""
