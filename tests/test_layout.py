@@ -10,7 +10,7 @@ from noticelake.functions.geo import point
 from noticelake.functions.h3 import with_h3_cells
 from noticelake.operators.predicates import apply_predicates
 from noticelake.sources import layout
-from noticelake.sources.offenses import read_offenses
+from noticelake.sources.offenses import read_offenses, write_offenses
 
 START = dt.datetime(2024, 1, 1)
 
@@ -118,3 +118,19 @@ def test_days_are_ranges(spark):
     ).select("id", F.to_timestamp("at").alias("time"))
     got = lambda *days: [r["id"] for r in apply_predicates(rows, {"date": list(days)}).orderBy("id").collect()]
     assert got("2024-05-05") == [1, 2] and got("2024-05-06", "no day") == [3] and got("no day") == []
+
+
+def test_derived_offenses_move_twice(spark, tmp_path):
+    from workload import tables
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with large tables
+    try:
+        rows = tables.raw_offenses(spark, "/root/testdata/sf0.001")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        keys = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+        # Both sides of each join, and no shuffle ahead of the joins.
+        assert sorted(keys) == ["l_orderkey", "l_partkey", "l_suppkey", "o_orderkey", "p_partkey", "s_suppkey"]
+        write_offenses(rows.select("db_id", "time", "point").repartition(3), str(tmp_path / "o"), (), ("db_id",), balance=False)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(list((tmp_path / "o").glob("*.parquet"))) == 3
