@@ -16,6 +16,8 @@ from noticelake.sources.offenses import PARTITIONS
 STEP_BITS = 8
 #: Accuracy of the quantile sketches the steps are cut by.
 ACCURACY = 10_000
+#: Bits of the hash that cuts the rows of one step.
+SPREAD_BITS = 15
 
 
 def _cuts(rows: DataFrame, bits: int) -> dict[str, list[float]]:
@@ -87,9 +89,12 @@ def write_clustered(
     of ranges, else the session's shuffle partitions, which adaptive execution merges. The input is read three times (for
     the steps, the ranges and the rows), so a derived table should be stored first. An empty table writes an empty table.
     """
-    curve, hashed = (f"_{uuid4().hex}" for _ in range(2))
-    rows = with_curve(df, curve, cell, time).withColumn(hashed, F.xxhash64(*spread))
-    keys = [*partitions, curve, hashed]
+    curve, place = (f"_{uuid4().hex}" for _ in range(2))
+    # One long instead of two columns, since it moves with every row.
+    hashed = F.pmod(F.xxhash64(*spread), F.lit(1 << SPREAD_BITS))
+    rows = with_curve(df, curve, cell, time)
+    rows = rows.withColumn(place, F.shiftleft(F.col(curve).cast("long"), SPREAD_BITS) + hashed).drop(curve)
+    keys = [*partitions, place]
     ranged = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
-    writer = ranged.sortWithinPartitions(*partitions, curve).drop(curve, hashed).write.mode(mode)
+    writer = ranged.sortWithinPartitions(*keys).drop(place).write.mode(mode)
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
