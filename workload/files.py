@@ -23,9 +23,9 @@ def _fresh(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _files(rows: DataFrame, path: str) -> None:
+def _files(rows: DataFrame, path: str, compression: str = "none") -> None:
     """One file of each row's ``value``."""
-    rows.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows.select("value").write.option("maxRecordsPerFile", 1).text(path, compression=compression)
 
 
 @query(
@@ -55,7 +55,7 @@ def offense_seed_files(spark, sf) -> DataFrame:
         F.array(F.concat(F.lit("T."), F.col("p_type"))).alias("article_id"),
     )
     block = F.floor(F.col("doc_id").cast("long") / ORDERS_PER_FILE)
-    _files(raw.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(record)).alias("value")), path)
+    _files(raw.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(record)).alias("value")), path, "gzip")
     got = src.read_offense_json(spark, path)
     return got.select(
         "db_id",
