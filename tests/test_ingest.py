@@ -339,3 +339,25 @@ def test_references_are_read_as_asked(spark):
     assert read() == 'a <b> "c&quot; d&'
     assert read(references=("lt", "gt", "amp")) == "a <b> &quot;c&quot; d&amp"
     assert read(references=()) == "a &lt;b&gt; &quot;c&amp;quot; d&amp"
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    import random
+
+    random.seed(3)
+    whole = page("Notificaci&oacute;n", "1/2/2020", [["Matr&iacute;cula", "Fecha"], ["ABC 1234 &amp", "1/2/2020"]], "<p class=\"a b\">x &lt; y<pre>z</pre>")
+    assert html._plain_tags(whole)
+    bits = ["<tr>", "<td >", "</td>", "</ tr>", "<TABLE CLASS=\"tabla_en_texto\">", "</table>", "<br/>", "<title>", "</title>", "<h5>", "</h5>",
+            "<p>", "</p>", "<div id=x>", "<script>", "</script>", "<!-- a -->", "<!doctype html>", "a &amp; b", "&aacute", "<", ">", " ", "&", "<tbody>"]
+    pages = [whole, "", "x", *("".join(random.choices(bits, k=random.randint(1, 12))) for _ in range(3000))]
+    pages += [whole[:i] + random.choice(bits) + whole[i:] for i in range(len(whole))]
+    plain = 0
+    for text in pages:
+        plain += html._plain_tags(text) is not None
+        for kind in (html._NoticeParser, html._ListingParser):
+            by_tags, fed = html._parse(kind(), text), kind()
+            fed.feed(text)
+            fed.close()
+            names = ("title", "headings", "body", "tables") if kind is html._NoticeParser else ("entries", "next")
+            assert [getattr(by_tags, n) for n in names] == [getattr(fed, n) for n in names], text
+    assert plain > 200
