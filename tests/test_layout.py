@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from noticelake.functions.geo import point
 from noticelake.functions.h3 import with_h3_cells
 from noticelake.operators.predicates import apply_predicates
+from noticelake.schema import CELL_COLUMNS
 from noticelake.sources import layout
 from noticelake.sources.offenses import read_offenses, write_offenses
 
@@ -134,3 +135,26 @@ def test_derived_offenses_move_twice(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(list((tmp_path / "o").glob("*.parquet"))) == 3
+
+
+def test_derived_offenses_encode_a_place_once_in_compiled_methods(spark):
+    from workload import tables
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plan has no generated code before it runs
+    try:
+        df = tables.build_offenses(spark, "/root/testdata/sf0.001")
+        run = df._jdf.queryExecution()
+        plan = run.executedPlan().toString()
+        stages = run.debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # The cells come with the broadcast suppliers; above them nothing runs in Python.
+    lines = plan.splitlines()
+    python = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+    assert len(python) == 1 and "Join" not in "".join(lines[python[0] :])
+    assert any("BroadcastExchange" in line for line in lines[python[0] - 4 : python[0]])
+    # The JVM's interpreter runs any method above.
+    assert max(sizes) <= 8000
+    expected = with_h3_cells(df.drop(*CELL_COLUMNS)).select(df.columns)
+    assert df.exceptAll(expected).count() == expected.exceptAll(df).count() == 0
