@@ -1,10 +1,11 @@
 """Replacement of documents that readers see whole or not at all.
 
-A table is a folder with ``rows``, partitioned by batch first, and ``documents``, the documents that each batch replaces.
-A batch's rows are written ahead; the list of its documents is one file, which appears at once when its job commits, and
-only then does the batch count. Of a document the last committed batch holds all rows, so readers never see two states of
-it, a failed batch is never seen, and two writers at a time lose nothing: where both bring a document, the later commit
-has it. Old batches are folded into one and removed later, by whoever looks after the table.
+A table is a folder with ``rows``, partitioned by batch first, ``documents``, the lists of the documents that each batch
+replaces, and ``commits``. A batch's rows and its list are written ahead, by as many tasks as they take; a commit is one row
+in one file, which appears at once when its job commits, and only then does the batch count. Of a document the last committed
+batch holds all rows, so readers never see two states of it, a failed batch is never seen, and two writers at a time lose
+nothing: where both bring a document, the later commit has it. Old batches are folded into one and removed later, by whoever
+looks after the table; a fold's commit names them, so that readers leave them out without a join.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import time
 from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,14 @@ from noticelake.sources.offenses import PARTITIONS
 #: Seconds that the commit of a batch may take at most; folding leaves younger commits alone.
 GRACE = 600
 
-_LISTED = T.StructType(
-    [T.StructField("doc_source", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("version", T.LongType())]
+_COMMIT = T.StructType(
+    [
+        T.StructField("version", T.LongType()),
+        T.StructField("batch", T.StringType()),
+        T.StructField("list", T.StringType()),
+        T.StructField("documents", T.LongType()),
+        T.StructField("folded", T.ArrayType(T.StringType())),
+    ]
 )
 
 
@@ -39,12 +46,20 @@ def write_rows(rows: DataFrame, path: str, partitions: Sequence[str] = PARTITION
     return batch
 
 
-def commit(documents: DataFrame, path: str, batch: str, version: int | None = None) -> int:
-    """Second step: list the documents that the batch replaces, in one file. Returns the version this makes."""
-    version = _now() if version is None else version
+def commit(documents: DataFrame, path: str, batch: str, version: int | None = None, folded: Sequence[str] = ()) -> int:
+    """Second step: list the documents that the batch replaces, and let it count. Returns the version this makes.
+
+    A batch is committed once. ``folded`` names the batches whose rows it holds.
+    """
+    spark, name = documents.sparkSession, uuid4().hex
     listed = documents.select(F.col("doc_source").cast("string").alias("doc_source")).distinct()
-    stamped = listed.withColumns({"batch": F.lit(batch), "version": F.lit(version).cast("long")})
-    stamped.coalesce(1).write.mode("errorifexists").parquet(f"{path}/documents/{version:020d}-{batch}")
+    listed.write.mode("errorifexists").parquet(f"{path}/documents/list={name}")
+    n = spark.read.schema("doc_source string").parquet(f"{path}/documents/list={name}").count()
+    version = _now() if version is None else version
+    values = {"version": F.lit(version), "batch": F.lit(batch), "list": F.lit(name), "documents": F.lit(n)}
+    values["folded"] = F.array(*[F.lit(b) for b in folded])
+    row = spark.range(1).coalesce(1).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in _COMMIT.fields])
+    row.write.mode("errorifexists").parquet(f"{path}/commits/{version:020d}-{batch}")
     return version
 
 
@@ -62,41 +77,66 @@ def replace_versioned(
     return commit(documents, path, batch)
 
 
-def _documents(spark: SparkSession, path: str, version: int | None) -> DataFrame:
-    listed = spark.read.schema(_LISTED).option("recursiveFileLookup", True).parquet(f"{path}/documents")
-    return listed if version is None else listed.where(F.col("version") <= version)
+def _all_commits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_COMMIT).option("recursiveFileLookup", True).parquet(f"{path}/commits")
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """``version, batch, documents`` of all commits."""
-    return _documents(spark, path, None).groupBy("version", "batch").agg(F.count("*").alias("documents"))
+    return _all_commits(spark, path).select("version", "batch", "documents")
+
+
+def _commits(spark: SparkSession, path: str, version: int | None) -> list[Row]:
+    """Commits up to a version in their order: one row per batch written since old ones were removed."""
+    found = _all_commits(spark, path)
+    found = found if version is None else found.where(F.col("version") <= version)
+    return sorted(found.collect(), key=lambda c: (c["version"], c["batch"]))
+
 
+def _unfolded(commits: Sequence[Row]) -> list[Row]:
+    folded = {b for c in commits for b in c["folded"]}
+    return [c for c in commits if c["batch"] not in folded]
 
-def _live(spark: SparkSession, path: str, schema: T.StructType, version: int | None) -> DataFrame:
-    """Rows in force, with their batch.
 
-    Only (document, batch) pairs that a later commit replaced are joined against the rows; batches that never committed are
-    left out by partition. Both lists are as long as what was replaced since the last folding.
+def _place(commits: Sequence[Row], field: str) -> Column:
+    """Place of a batch or list in the order of the commits."""
+    return F.create_map(*[F.lit(x) for i, c in enumerate(commits) for x in (c[field], i)])[F.col(field)]
+
+
+def _lists(spark: SparkSession, path: str, commits: Sequence[Row]) -> DataFrame:
+    """``doc_source, list`` of the given commits."""
+    held = spark.read.schema("doc_source string, list string").option("basePath", f"{path}/documents")
+    return held.parquet(*[f"{path}/documents/list={c['list']}" for c in commits])
+
+
+def _live(spark: SparkSession, path: str, schema: T.StructType, commits: Sequence[Row]) -> DataFrame:
+    """Rows in force after the given commits.
+
+    Folded batches, and those that never committed, are left out by partition. The oldest batch replaces nothing, so its
+    list is not read, and nothing replaces the newest, so its rows join nothing: what the rows between meet is as long as
+    what was replaced since the last folding.
     """
-    listed = _documents(spark, path, version)
-    committed = [r["batch"] for r in listed.select("batch").distinct().collect()]
-    last = listed.groupBy("doc_source").agg(F.max(F.struct("version", "batch")).alias("last"))
-    dead = (
-        listed.join(last, "doc_source")
-        .where(F.struct("version", "batch") < F.col("last"))
-        .select("doc_source", "batch")
-    )
+    order = _unfolded(commits)
+    if not order:
+        return spark.createDataFrame([], schema)
     stored = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
-    rows = spark.read.schema(stored).option("basePath", f"{path}/rows")
-    if not committed:
-        return spark.createDataFrame([], stored)
-    held = rows.parquet(*[f"{path}/rows/batch={b}" for b in committed])
-    return held.join(dead, ["doc_source", "batch"], "left_anti").select(*stored.names)
+
+    def rows(some: Sequence[Row]) -> DataFrame:
+        held = spark.read.schema(stored).option("basePath", f"{path}/rows")
+        return held.parquet(*[f"{path}/rows/batch={c['batch']}" for c in some])
+
+    newest = rows(order[-1:]).select(*schema.names)
+    if len(order) == 1:
+        return newest
+    listed = _lists(spark, path, order[1:]).select(F.col("doc_source").alias("_doc"), _place(order, "list").alias("_place"))
+    last = listed.groupBy("_doc").agg(F.max("_place").alias("_last"))
+    replaced = (F.col("doc_source") == F.col("_doc")) & (_place(order, "batch") < F.col("_last"))
+    return rows(order[:-1]).join(last, replaced, "left_anti").select(*schema.names).unionByName(newest)
 
 
 def read_versioned(spark: SparkSession, path: str, schema: T.StructType = OFFENSES, version: int | None = None) -> DataFrame:
     """The table as of now, or as of a version: partition filters and columns reach the files."""
-    return _live(spark, path, schema, version).drop("batch")
+    return _live(spark, path, schema, _commits(spark, path, version))
 
 
 def fold(
@@ -111,28 +151,31 @@ def fold(
     The batch takes the version of the newest commit it contains, by a name that sorts behind all others: later commits, also
     those under way, stay above it.
     """
-    listed = _documents(spark, path, _now() - int(grace * 1e6))
-    newest = listed.agg(F.max("version")).first()[0]
-    if newest is None:
+    commits = _commits(spark, path, _now() - int(grace * 1e6))
+    if not commits:
         return None
-    rows = read_versioned(spark, path, schema, newest)
+    rows = _live(spark, path, schema, commits)
     batch = "~" + uuid4().hex
     rows.hint("rebalance", *partitions).write.mode("errorifexists").partitionBy(*partitions).parquet(f"{path}/rows/batch={batch}")
-    return commit(listed.where(F.col("version") <= newest), path, batch, newest)
+    listed = _lists(spark, path, _unfolded(commits))
+    return commit(listed, path, batch, commits[-1]["version"], [c["batch"] for c in commits])
 
 
 def remove_replaced(spark: SparkSession, path: str, grace: float = GRACE) -> list[str]:
     """Delete batches of which nothing is in force; returns their names. Readers of versions before the last fold need them.
 
-    The documents they list go first, and only where a fold lists them too, so that no deleted batch is ever read.
+    Their commits go first, so that no deleted batch is ever read.
     """
-    listed = _documents(spark, path, _now() - int(grace * 1e6))
-    last = listed.groupBy("doc_source").agg(F.max(F.struct("version", "batch"))["batch"].alias("batch"))
-    dead = listed.select("version", "batch").distinct().join(last.select("batch").distinct(), "batch", "left_anti")
-    gone = [(r["version"], r["batch"]) for r in dead.collect()]
+    commits = _commits(spark, path, _now() - int(grace * 1e6))
+    order = _unfolded(commits)
+    if not order:
+        return []
+    last = _lists(spark, path, order).groupBy("doc_source").agg(F.max(_place(order, "list")).alias("place"))
+    kept = {order[r["place"]]["batch"] for r in last.select("place").distinct().collect()}
+    gone = [c for c in commits if c["batch"] not in kept]
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    for version, batch in gone:
-        for folder in (f"{path}/documents/{version:020d}-{batch}", f"{path}/rows/batch={batch}"):
-            target = hadoop_path(folder)
+    for c in gone:
+        for folder in (f"commits/{c['version']:020d}-{c['batch']}", f"documents/list={c['list']}", f"rows/batch={c['batch']}"):
+            target = hadoop_path(f"{path}/{folder}")
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return [batch for _, batch in gone]
+    return [c["batch"] for c in gone]
