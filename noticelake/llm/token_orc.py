@@ -27,9 +27,10 @@ INDEX_STRIDE = 2_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
 
-# Lower-case letters of Latin-1: normalizing leaves them alone, and a run of them is one piece.
-_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-_TAIL = ".,;:!?"
+# Words that normalizing leaves as they are: lower-case letters of Latin-1, and what ASCII prints but blank and apostrophe,
+# with which some pieces begin. Their pieces are runs of letters, digits, and runs of marks.
+_PLAIN = re.compile("[!-&(-~\u00df-\u00f6\u00f8-\u00ff]+")
+_PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 # The preparation a vocabulary must have for its words to be encoded apart, with pieces of letters, digits or neither.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -38,9 +39,9 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class WordIds(dict):
     """Ids of words as bytes, remembered for words seen lately: beyond ``limit`` words, all not met since the last time go.
 
-    Where white space never joins tokens, words encode apart. A word of letters is one piece, and marks behind it are
-    another; the model encodes them without the steps before it. All else goes through the tokenizer as it is, and so
-    do whole texts if the vocabulary prepares them in another way.
+    Where white space never joins tokens, words encode apart, each when it is first asked for. The model encodes the pieces
+    of a plain word without the steps before it. All else goes through the tokenizer as it is, and so do whole texts if the
+    vocabulary prepares them in another way.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -54,7 +55,6 @@ class WordIds(dict):
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(0xDF, 0x100)]
         self.as_bytes = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
-        self.tails: dict[str, bytes] = {}
         plan = json.loads(self.tokenizer.to_str())
         normalizers = [n["type"] for n in (plan.get("normalizer") or {}).get("normalizers", [])]
         first = ((plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -63,63 +63,39 @@ class WordIds(dict):
     def _encode(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        rest, tokenize, packed, older = [], self.model.tokenize, self.packed, self.older
-        for word in words:
-            if (known := older.get(word)) is not None:
-                self[word] = known
-                continue
-            low = word.decode("utf-8", "replace")
-            stem = low.rstrip(_TAIL)
-            if low.isascii():
-                if not stem.isalpha():
-                    rest.append(word)
-                    continue
-                ids = b"".join([packed[t.id] for t in tokenize(stem)])
+    def _encode(self, text: bytes) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
+        return array("i", found[0].ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            tokenize, packed = self.model.tokenize, self.packed
+            if word.isalpha():  # ASCII only
+                ids = b"".join([packed[t.id] for t in tokenize(word.decode())])
+            elif not _PLAIN.fullmatch(low := word.decode("utf-8", "replace").lower()):
+                ids = self._encode(word)
             else:
-                low = low.lower()
-                stem = low.rstrip(_TAIL)
-                if not _LETTERS.fullmatch(stem):
-                    rest.append(word)
-                    continue
-                ids = b"".join([packed[t.id] for t in tokenize(stem.translate(self.as_bytes))])
-            if len(stem) < len(low):
-                ids += self._tail(low[len(stem) :])
-            self[word] = ids
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            found = self._encode([w.decode("utf-8", "replace") for w in part])
-            self.update(zip(part, (array("i", ids).tobytes() for ids in found), strict=True))
-
-    def _tail(self, marks: str) -> bytes:
-        if marks in self.tails:
-            return self.tails[marks]
-        ids = array("i", self._encode([marks])[0]).tobytes()
-        if len(marks) < 4:
-            self.tails[marks] = ids
+                parts = _PARTS.findall(low)
+                if not low.isascii():
+                    parts = [p.translate(self.as_bytes) for p in parts]
+                ids = b"".join([packed[t.id] for p in parts for t in tokenize(p)])
+        self[word] = ids
         return ids
 
     def documents(self, docs: list[bytes]) -> list[bytes]:
         """Ids of each text, as native 32-bit integers. A text that spells a special token is encoded whole."""
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        split: list[list[bytes] | None] = []
-        new: set[bytes] = set()
+        get, out = self.__getitem__, []
         for text in docs:
+            if len(self) > self.limit:
+                self.older = dict(self)
+                self.clear()
             low = text.lower()
             if not self.by_word or any(s in low for s in self.specials):
-                split.append(None)
-                continue
-            words = low.split()
-            split.append(words)
-            new.update(words)
-        self._learn([w for w in new if w not in self])
-        get = self.__getitem__
-        return [
-            array("i", self._encode([text.decode("utf-8", "replace")])[0]).tobytes() if words is None else b"".join(map(get, words))
-            for text, words in zip(docs, split, strict=True)
-        ]
+                out.append(self._encode(text))
+            else:
+                out.append(b"".join(map(get, low.split())))
+        return out
 
 
 _KNOWN: dict[str, WordIds] = {}

@@ -64,3 +64,21 @@ def test_no_documents(spark, no_docs, tmp_path):
     path = f"file://{tmp_path}/none"
     token_orc.write_tokens(no_docs, path, tokenizer_path())
     assert token_orc.token_digests(token_orc.read_tokens(spark, path)).count() == 0
+
+
+def test_plain_words_skip_the_steps_before_the_model(monkeypatch):
+    words = token_orc.WordIds(tokenizer_path())
+    whole = token_orc.WordIds._encode
+    asked = []
+    monkeypatch.setattr(token_orc.WordIds, "_encode", lambda self, text: asked.append(text) or whole(self, text))
+    plain = "well-known 3.14 (foo) a@b.org x86_64, ÄRGER-straße! café-2go ... \"end.\" 12,5% ~`|{}[]^\\ ÅK".split()
+    odd = "it's o'clock ärger na×ve 日本 x\x01y x y İd ½ ŀa".split(" ")
+    for text in plain + odd:
+        expected = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert array("i", words.documents([text.encode()])[0]).tolist() == expected, text
+    assert not {w.encode().lower() for w in plain} & set(asked)
+    # Forgotten words come out the same.
+    few = token_orc.WordIds(tokenizer_path(), limit=3)
+    texts = [" ".join(plain), " ".join(odd), " ".join(plain)]
+    assert few.documents([t.encode() for t in texts]) == words.documents([t.encode() for t in texts])
+    assert len(few) < len(plain) + len(odd)
